@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kgspark.llm import decontam, licenses, linefreq, mixing, pii, quality, simhash, tokens, warc
+from kgspark.llm import decontam, licenses, linefreq, mixing, pii, quality, simhash, substrings, tokens, warc
 from kgspark.llm._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +36,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -56,11 +59,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokens, op2_warc, op3_decontaminate, op4_licenses, op5_mix, op7_pii, op8_simhash, op9_quality, op10_lines)}
+    return {f.__name__: f for f in (op1_tokens, op2_warc, op3_decontaminate, op4_licenses, op5_mix, op6_substrings, op7_pii, op8_simhash, op9_quality, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_licenses": licenses.SQL}
-
-
-__all__ = ["F", "oracle_sql", "queries"]
