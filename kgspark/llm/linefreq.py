@@ -1,6 +1,6 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Every non-blank line is normalised (A-Z and other letters lower-cased, ASCII white space runs made one space, digits made 0) and hashed. Per host, the documents
+Every non-blank line is normalised (A-Z and other letters lower-cased, ASCII white space runs made one space) and hashed. Per host, the documents
 that hold a line are counted over the whole corpus; lines in more than ``line_limit`` documents of one host are removed, and a document that
 loses more than ``max_removed`` of its words is depleted and rejected. Lines of fewer than ``min_line_words`` words are never counted.
 
@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
 def line_table(docs: DataFrame, text: str, host: str, keys: list[str], min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """One row for each line of each document: keys, ``host``, ``pos``, ``h`` (hash of the normal form), ``n`` (its words)."""
     lines = docs.select(*keys, F.col(host).alias("host"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), SPACE, " "), "[0-9]+", "0"))
+    flat = F.trim(F.regexp_replace(F.lower("line"), SPACE, " "))
     sized = lines.select(*keys, "host", "pos", flat.alias("flat")).where("flat <> ''")
     sized = sized.select(*keys, "host", "pos", F.xxhash64("flat").alias("h"), (F.length("flat") - F.length(F.translate("flat", " ", "")) + 1).cast("bigint").alias("n"))
     return sized.where(F.col("n") >= min_line_words)
@@ -38,7 +38,7 @@ def line_table(docs: DataFrame, text: str, host: str, keys: list[str], min_line_
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
     """(host, h, n_docs) of lines in more than ``line_limit`` documents of a host; a document's repeats are dropped before any shuffle."""
-    flat = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), SPACE, " "), "[0-9]+", "0")))
+    flat = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " ")))
     each = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(flat)).alias("flat")).where(F.length("flat") - F.length(F.translate("flat", " ", "")) + 1 >= MIN_LINE_WORDS)
     return each.groupBy("host", F.xxhash64("flat").alias("h")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_limit)
 

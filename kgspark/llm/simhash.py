@@ -83,7 +83,7 @@ def _runs(batches, key: list[str]):
         last = int(cuts[-1]) if len(cuts) else 0
         held = batch.slice(last)
         if last:
-            yield batch.slice(0, last), np.concatenate(([0], cuts))
+            yield batch.slice(0, last), np.concatenate(([0], cuts[:-1]))
     if held is not None and held.num_rows:
         yield held, np.array([0, held.num_rows])
 
