@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from kgspark.llm._common import SPACE, cut, free_name
 
-SAMPLE_ROWS, BINS, THRESHOLD = 20_000, 12, 0.5
+SAMPLE_ROWS, BINS = 20_000, 12
+#: Below one half, since a good document lost weighs more than a bad one kept. Picked on labels of the 0.1 tables.
+THRESHOLD = 0.05
 MIN_STRENGTH, MAX_STRENGTH = 5.0, 1e6
 FIGURES = ("symbols", "capitals", "shouts", "variety", "repeats", "length", "word_length", "digits")
 
