@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _FENCE = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.DOTALL)
 _OBJECT = re.compile(r"\{.*", re.DOTALL)
@@ -78,7 +79,7 @@ def repair(content: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: workers import this module, and have no session to parse a name
 def repair_json(content: pd.Series) -> pd.Series:
     return content.map(repair)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -228,19 +228,20 @@ def subcommunities(edges: DataFrame, assignments: DataFrame, min_sub: int = 2, s
 
     def work(key, g: pd.DataFrame) -> pd.DataFrame:
         out = _local(g, 1.0, seed)
-        size = out["rep"].value_counts()
-        if len(size) < 2:
-            return pd.DataFrame({"id": [], "community": [], "rep": []})
         rep = dict(zip(out["id"], out["rep"], strict=True))
-        ties: dict = defaultdict(lambda: defaultdict(int))
+        size = Counter(rep.values())
+        ties: dict = defaultdict(Counter)
         for s, t in zip(g["src"], g["dst"], strict=True):
             if rep[s] != rep[t]:
                 ties[rep[s]][rep[t]] += 1
                 ties[rep[t]][rep[s]] += 1
-        largest = sorted(size.index, key=lambda r: (-size[r], r))
-        to = {r: r if size[r] >= min_sub else (min(ties[r], key=lambda x: (-ties[r][x], x)) if ties[r] else next(x for x in largest if x != r)) for r in size.index}
-        out["rep"] = out["rep"].map(to)
-        return out.assign(community=key[0]) if out["rep"].nunique() > 1 else out.head(0).assign(community=key[0])
+        largest = sorted(size, key=lambda r: (-size[r], r))
+        to = {r: r for r in size}
+        for r in size if len(size) > 1 else ():
+            if size[r] < min_sub:
+                to[r] = min(ties[r], key=lambda x: (-ties[r][x], x)) if ties[r] else next(x for x in largest if x != r)
+        ids = list(rep) if len({*to.values()}) > 1 else []
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "community": pd.Series([int(key[0])] * len(ids), dtype="int64"), "rep": pd.Series([to[rep[i]] for i in ids], dtype=object)})
 
     found = inner.groupBy("community").applyInPandas(work, f"id {kind}, community bigint, rep {kind}")
     local = F.dense_rank().over(W.partitionBy("community").orderBy("first")) - 1

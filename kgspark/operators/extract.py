@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from kgspark.functions.labels import classify_surface_form, default_aliases, normalize_surface_form, standardize_label
 from kgspark.functions.similarity import in_evidence, matches_hint
 
-# The patterns and stop words of the default extractor.
-PERSON = "\\b([A-Z][a-z]+(?:\\s+(?:von|van|de|der|del|la|le|da|di|du))*(?:\\s+[A-Z][a-z]+)+)\\b"
-ORGANIZATION = "\\b(European Union|European Commission|European Parliament|Council of Europe)\\b"
-PLACE = "\\b(Brussels|Europe|France|Germany|Hungary|Ukraine|Russia)\\b"
-KEYWORD = "\\b([a-z]{4,}(?:\\s+[a-z]{4,})?)\\b"
+# The patterns and stop words of the default extractor. Word edges look at letters of all scripts.
+_L, _R = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
+PERSON = _L + "([A-Z][a-z]+(?:\\s+(?:von|van|de|der|del|la|le|da|di|du))*(?:\\s+[A-Z][a-z]+)+)" + _R
+ORGANIZATION = _L + "(European Union|European Commission|European Parliament|Council of Europe)" + _R
+PLACE = _L + "(Brussels|Europe|France|Germany|Hungary|Ukraine|Russia)" + _R
+KEYWORD = _L + "([a-z]{4,}(?:\\s+[a-z]{4,})?)" + _R
 STOP = ("with", "that", "this", "from", "have", "will", "into", "their", "there", "about", "after", "before", "under", "discuss", "discussed", "policy", "europe")
 # Top labels, the words that belong under them, their aliases and hints, and overriding types.
 GROUP_RULES = {
