@@ -112,7 +112,7 @@ def _sql() -> str:
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in kv)) for kv in TEMPLATES.items())
     begins = f"regexp_matches(coalesce(text, ''), '(?i)^[^\\n]{{0,200}}({ANCHORS})')"
     n = len(TEMPLATES)
-    terms_of = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), x -> x <> '')"
+    terms_of = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
 WITH tpl(license, body) AS (VALUES {rows}),
 ttf AS (SELECT license, term, count(*) tf FROM (SELECT license, unnest({terms_of.format('body')}) term FROM tpl) GROUP BY ALL),

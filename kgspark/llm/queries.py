@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import decontam, licenses, linefreq, mixing, pii, quality, simhash, substrings, tokens, warc
+from kgspark.llm import decontam, licenses, linefreq, mixing, oracles, pii, quality, simhash, substrings, tokens, warc
 from kgspark.llm._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.SQL}
+    return dict(oracles.SQL)
