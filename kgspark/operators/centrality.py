@@ -172,7 +172,7 @@ def current_flow(nodes: DataFrame, edges: DataFrame, max_nodes: int = 2000) -> D
             flow[a] += through / 2
             flow[b] += through / 2
         norm = (n - 1) * (n - 2) / 2 or 1.0
-        return pd.DataFrame({"id": ids, "betweenness": np.maximum(0.0, flow - (n - 1)) / norm + 0.0 if n > 2 else np.zeros(n), "closeness": close})
+        return pd.DataFrame({"id": ids, "betweenness": np.maximum(0.0, flow - (n - 1) / 2) / norm if n > 2 else np.zeros(n), "closeness": close})
 
     return und.join(roots, und.src == roots.node).groupBy("root").applyInPandas(work, f"id {kind}, betweenness double, closeness double")
 

@@ -23,7 +23,7 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Data
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "filename string, text string")
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return read.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("text"))
 
 
 def readable(spark: SparkSession, folder: str, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:

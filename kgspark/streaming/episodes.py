@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Streams get a watermark, which needs a time with a zone; batch frames stay as they are."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def episodes(events: DataFrame, time: str = "ts", by: str = "user_id", gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(by, start_time, end_time, events): sessions; a batch frame gives the same rows as a stream that has ended. ``end_time`` is that of the last event."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _timed(events, time, late)
     each = rows.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events"), F.max(time).alias("end_time"))
     return each.select(by, F.col("w.start").alias("start_time"), "end_time", "events")
 
 
 def windows(events: DataFrame, time: str, size: str, slide: str | None = None, late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
     """Counts by tumbling or sliding window."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _timed(events, time, late)
     w = F.window(time, size, slide) if slide else F.window(time, size)
     return rows.groupBy(w.alias("w"), *(by or [])).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(by or []), "n")
 
 
 def deduplicate(events: DataFrame, time: str, key: list[str], late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
+    return _timed(events, time, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
 def grow(stream: DataFrame, folder: str, checkpoint: str, attributes: list[str]):
