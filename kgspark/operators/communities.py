@@ -214,7 +214,7 @@ def search_grid(edges: DataFrame, resolutions=RESOLUTIONS, runs: int = RUNS, see
     grid = undirected(edges).select("src", "dst", "weight", cells.alias("cell")).select("cell.*", "src", "dst", "weight")
 
     def work(key, g: pd.DataFrame) -> pd.DataFrame:
-        return _local(g, key[0], seed + key[1]).assign(resolution=key[0], run=key[1])
+        return _local(g, float(key[0]), seed + int(key[1])).assign(resolution=key[0], run=key[1])
 
     return grid.groupBy("resolution", "run").applyInPandas(work, f"resolution double, run int, id {kind}, rep {kind}")
 
