@@ -1,17 +1,16 @@
-"""Helpers shared by the training-data operators: tables, Arrow batches and lineage cuts on shared storage."""
+"""Helpers shared by the training-data operators: tables and Arrow batches; lineage is cut as in the rest of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.storage import cut, discard, shared_dir
+
 ARROW_ROWS = 500
-_own: dict[str, str] = {}
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -24,35 +23,6 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a session that names none (tests, one machine) gets a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if "local" not in _own:
-            _own["local"] = "file://" + tempfile.mkdtemp(prefix="kgspark-")
-        at = _own["local"]
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recompute."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kg_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_kg_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, whatever extra columns it brings."""
     taken = {c.lower() for c in df.columns}
@@ -86,3 +56,6 @@ def map_texts(df: DataFrame, text: str, fields: dict[str, tuple[str, pa.DataType
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+__all__ = ["ARROW_ROWS", "SPACE", "cut", "ddl", "discard", "free_name", "map_texts", "shared_dir", "small_batches", "table"]
