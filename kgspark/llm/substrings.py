@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut, small_batches
+from kgspark.llm._common import cut, discard, small_batches
 from kgspark.llm.automaton import SuffixAutomaton
 
 SIZE, K, SHARD_WORDS, HOT_PASSAGES, BROADCAST_KEYS = 13, 5, 40_000, 200, 4_000_000
@@ -109,7 +109,8 @@ PASSAGE = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("g", pa.int64()),
 PASSAGE_DDL = "doc bigint, th bigint, g bigint, first int, windows int, passage binary"
 
 
-def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> DataFrame:
+def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> tuple[DataFrame, DataFrame]:
+    """The passages of repeated minimizers, and the table of these that they are made from."""
     each = _repeated(rows, size, k)
     several = cut(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "minimizers")
     emit = lambda doc, th, text, known: [(doc, th, g, a, w, p) for g, a, p, w in _passages(text, size, k, known)]
@@ -128,7 +129,7 @@ def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> Data
                     if found := emit(doc, th, text, known):
                         yield made(found)
 
-        return rows.select("doc", "text", "th").mapInArrow(_merged(run), PASSAGE_DDL)
+        return rows.select("doc", "text", "th").mapInArrow(_merged(run), PASSAGE_DDL), several
 
     def run_joined(batches):
         for batch in batches:
@@ -137,7 +138,7 @@ def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> Data
                     yield made(found)
 
     mine = each.join(several, "g").groupBy("doc").agg(F.collect_set("g").alias("mine")).withColumnRenamed("doc", "d")  # bounded by one document
-    return rows.join(mine, rows.doc == mine.d).select("doc", "text", "th", "mine").mapInArrow(_merged(run_joined), PASSAGE_DDL)
+    return rows.join(mine, rows.doc == mine.d).select("doc", "text", "th", "mine").mapInArrow(_merged(run_joined), PASSAGE_DDL), several
 
 
 def _matched(passages: DataFrame, size: int, shard_words: int) -> DataFrame:
@@ -179,7 +180,7 @@ def _matched(passages: DataFrame, size: int, shard_words: int) -> DataFrame:
     return passages.select("g", "key", "passage", "least").repartition("g").sortWithinPartitions("g").mapInArrow(_merged(run), "key binary, owners array<bigint>")
 
 
-def _single_windows(hot: DataFrame, size: int) -> DataFrame:
+def _single_windows(hot: DataFrame, size: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Owners of the passages of very common minimizers: their windows, dealt by content, are reference shards of one window."""
     out = pa.schema([("key", pa.binary()), ("j", pa.int32()), ("w", pa.binary()), ("least", pa.int64())])
 
@@ -193,9 +194,10 @@ def _single_windows(hot: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     windows = cut(hot.select("key", "passage", "least").mapInArrow(run, "key binary, j int, w binary, least bigint"), "windows")
-    least = cut(windows.groupBy("w").agg(F.min("least").alias("owner")), "owners").withColumnRenamed("w", "w2")
+    owners = cut(windows.groupBy("w").agg(F.min("least").alias("owner")), "owners")
+    least = owners.withColumnRenamed("w", "w2")
     each = windows.join(least, F.col("w") == F.col("w2")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("j", "owner"))).alias("o"))  # bounded by one passage
-    return each.select("key", F.transform("o", lambda x: x["owner"]).alias("owners"))
+    return each.select("key", F.transform("o", lambda x: x["owner"]).alias("owners")), (windows, owners)
 
 
 def remove_repeats(
@@ -206,21 +208,27 @@ def remove_repeats(
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
-    found = cut(_candidates(rows.where("doc is not null and text is not null"), size, k, broadcast_keys).withColumn("key", F.unhex(F.md5("passage"))), "passages")
-    distinct = found.groupBy("g", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("passage").alias("passage"))
-    distinct = cut(distinct, "distinct")
+    candidates, several = _candidates(rows.where("doc is not null and text is not null"), size, k, broadcast_keys)
+    found = cut(candidates.withColumn("key", F.unhex(F.md5("passage"))), "passages")
+    discard(several)
+    distinct = cut(found.groupBy("g", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("passage").alias("passage")), "distinct")
     # a minimizer all of whose passages belong to one document removes nothing
     wanted = distinct.groupBy("g").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("most").alias("hi")).where("lo < hi")
     wanted = cut(wanted.select(F.col("g").alias("g2"), "n"), "wanted")
     cold = distinct.join(wanted.where(F.col("n") <= hot_passages), F.col("g") == F.col("g2"))
     hot = distinct.join(wanted.where(F.col("n") > hot_passages), F.col("g") == F.col("g2"))
-    owners = cut(_matched(cold, size, shard_words).unionByName(_single_windows(hot, size)), "matched").withColumnRenamed("key", "key2")
+    single, scratch = _single_windows(hot, size)
+    matched = cut(_matched(cold, size, shard_words).unionByName(single), "matched")
+    for x in (distinct, wanted, *scratch):
+        discard(x)
+    owners = matched.withColumnRenamed("key", "key2")
     mask = F.expr("aggregate(transform(owners, (o, j) -> case when o < doc then cast(shiftleft(1, j) as int) else 0 end), 0, (a, x) -> a | x)")
     covered = found.select("doc", "th", "first", "key").join(owners, F.col("key") == F.col("key2")).select("doc", "th", "first", mask.alias("mask")).where("mask <> 0")
     spans = covered.groupBy("doc", "th").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))  # bounded by one document
     spans = cut(spans, "spans").withColumnsRenamed({"doc": "d2", "th": "t2"})
+    for x in (found, matched):
+        discard(x)
     joined = rows.join(spans, (rows.doc == spans.d2) & (rows.th == spans.t2), "left").select("doc", "spans", "text")
-    del distinct, cold, hot, owners
     return _applied(joined, size, with_text).withColumnRenamed("doc", "doc_id")
 
 
