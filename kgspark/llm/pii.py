@@ -101,9 +101,8 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT,
     each = found.groupBy("t", "entity", "_id", "_th").agg(F.max("_rows").alias("_rows"))
     pairs = cut(each.groupBy("t", "entity").agg(F.sum("_rows").alias("n_te")).where(F.col("n_te") >= support), "pairs")
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("_t"), "\\P{L}+", -1))).alias("w")).where(F.length("w") >= TERM_CHARS)
+    # the whole vocabulary is counted before any join: what a join makes is then one row a pair, however common its terms are
     counts = words.groupBy("w").agg(F.count("*").alias("n_t"))
-    wanted = pairs.select("t").distinct()
-    counts = counts.join(wanted, counts.w == wanted.t, "left_semi")
     told = pairs.join(counts, pairs.t == counts.w).where(-F.log2(F.col("n_te") / F.greatest("n_t", "n_te")) <= max_bits)
     told = cut(told.select(F.col("t").alias("_tt"), F.col("entity").alias("_te")), "told")
     return found.join(told, (F.col("t") == F.col("_tt")) & (F.col("entity") == F.col("_te"))).select("_id", "_th", "s", "e")
