@@ -153,7 +153,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_char
     found = find(docs, doc_id, text)
     spans = found.select("_id", "_th", F.array_sort(F.concat("base", "terms")).alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_id", "_th"])
     spans = cut(spans, "spans")
-    joined = docs.join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_th")), "left")
+    joined = docs.join(spans.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_th")), "left")
     clean = joined.withColumn(text, F.when(F.col("_spans").isNotNull(), rewrite(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
     if n_chars in docs.columns:
         clean = clean.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
