@@ -85,7 +85,7 @@ def _runs(batches, key: list[str]):
         if last:
             yield batch.slice(0, last), np.concatenate(([0], cuts[:-1]))
     if held is not None and held.num_rows:
-        yield held, np.array([0, held.num_rows])
+        yield held, np.array([0])
 
 
 def _link_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:

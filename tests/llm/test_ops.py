@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -340,6 +341,25 @@ def test_covering_links(spark, cap):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_runs_cuts_start_inside_the_batch():
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())] * 2, names=["t", "z"]) for k in ([1, 1, 2], [2, 2], [], [3], [3, 3])]
+    seen = []
+    for batch, cuts in simhash._runs(iter(batches), ["t", "z"]):
+        keys = batch.column(0).to_pylist()
+        assert cuts[0] == 0 and all(0 <= c < batch.num_rows for c in cuts)
+        seen += [keys[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    assert seen == [[1, 1], [2, 2, 2], [3, 3, 3]]
+
+
+def test_op8_buckets_over_the_cap(spark):
+    """A family larger than the cap comes out as it does where every bucket is compared in one task."""
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    small, large = ({tuple(r) for r in simhash.near_duplicates(frame, bucket_cap=cap).collect()} for cap in (4, 1024))
+    assert small == large and len(small) == 40 and len({c for _, _, c in small}) < 40
+
+
 def test_every_pair_within_the_radius_collides():
     rnd, family = random.Random(1), simhash.masks()
     for _ in range(3000):
