@@ -166,19 +166,25 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, bucket_cap:
     return found.unionByName(around).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """Per row: ``doc_id``, ``fp`` and ``component_id`` (the least doc_id that links reach)."""
-    prints = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """Per row: ``doc_id``, ``th`` (text hash), ``fp``, ``root`` (the fingerprint that names the group, whatever its ids) and ``component_id`` (the least doc_id that links reach)."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    prints = cut(fingerprints(keyed), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = links(distinct, "fp", radius, bucket_cap)
     roots = components(edges)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    by_print = cut(rooted.join(named, "root").select(F.col("fp").alias("own"), "component_id"), "by_print")
+    by_print = cut(rooted.join(named, "root").select(F.col("fp").alias("own"), "root", "component_id"), "by_print")
     for x in (rooted, named, distinct):
         discard(x)
-    return prints.join(by_print, prints.fp == by_print.own).select("doc_id", "fp", "component_id")
+    return prints.join(by_print, prints.fp == by_print.own).select("doc_id", "th", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """Per row: ``doc_id``, ``fp`` and ``component_id`` (the least doc_id that links reach)."""
+    return grouped(docs, text, doc_id, radius, bucket_cap).select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:

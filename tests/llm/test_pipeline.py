@@ -75,6 +75,14 @@ def test_repeated_rows_and_clashing_columns(spark, sf):
     assert P.quality_stage(spark, docs, sf).columns == docs.columns and P.decontamination_stage(spark, docs, sf).count() == 4
 
 
+def test_rows_of_different_groups_stay_whatever_their_ids(spark, sf):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcde")
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, d), (0, c), (None, e), (3, e)], "doc_id long, text string")
+    once = P.near_duplicate_stage(spark, docs, sf)
+    assert once.columns == docs.columns
+    assert Counter(tuple(r) for r in once.collect()) == Counter([(None, a), (None, b), (0, c), (1, d), (3, e)])
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
