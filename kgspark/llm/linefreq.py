@@ -3,6 +3,7 @@
 Every non-blank line is normalised (A-Z and other letters lower-cased, ASCII white space runs made one space) and hashed. Per host, the documents
 that hold a line are counted over the whole corpus; lines in more than ``line_limit`` documents of one host are removed, and a document that
 loses more than ``max_removed`` of its words is depleted and rejected. Lines of fewer than ``min_line_words`` words are never counted.
+The text without its removed lines is returned, and the words that it lost are counted on it.
 
 Base rules per document: words, code points in words, symbols, lines equal to an earlier one, words inside 3-word windows that occur twice.
 Repeated windows are found by sorting (hash, position) packed into one long, so the cost is n log n in the text.
@@ -36,27 +37,27 @@ def line_table(docs: DataFrame, text: str, host: str, keys: list[str], min_line_
     return sized.where(F.col("n") >= min_line_words)
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """(host, h, n_docs) of lines in more than ``line_limit`` documents of a host; a document's repeats are dropped before any shuffle."""
     flat = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " ")))
-    each = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(flat)).alias("flat")).where(F.length("flat") - F.length(F.translate("flat", " ", "")) + 1 >= MIN_LINE_WORDS)
+    each = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(flat)).alias("flat")).where((F.length("flat") - F.length(F.translate("flat", " ", "")) + 1 >= min_line_words) & (F.col("flat") != ""))
     return each.groupBy("host", F.xxhash64("flat").alias("h")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_limit)
 
 
-def line_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """Per row: ``doc_id``, the base figures, ``n_removed`` (words of frequent lines), ``base_failed`` and ``kept``."""
+def line_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT, max_removed: float = MAX_REMOVED, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """Per row: ``doc_id``, the base figures, ``kept_text`` (without frequent lines), ``n_removed`` (the words it lost), ``base_failed`` and ``kept``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("th"))
-    often = cut(frequent_lines(rows, "text", "host", line_limit), "frequent")
+    often = cut(frequent_lines(rows, "text", "host", line_limit, min_line_words), "frequent")
     often = often.select(F.col("host").alias("fh"), F.col("h").alias("fl"))
-    lines = line_table(rows, "text", "host", ["doc_id", "th"])
-    lost = lines.join(often, (lines.h == often.fl) & lines.host.eqNullSafe(often.fh)).select("doc_id", "th", "host", "pos", "n")
-    # repeated rows have the same lines: each position counts once
-    lost = lost.groupBy("doc_id", "th", "host", "pos").agg(F.first("n").alias("n")).groupBy("doc_id", "th", "host").agg(F.sum("n").alias("n_removed"))
-    lost = cut(lost, "lost").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("host").alias("s"), "n_removed")
+    lines = line_table(rows, "text", "host", ["doc_id", "th"], min_line_words)
+    lost = lines.join(often, (lines.h == often.fl) & lines.host.eqNullSafe(often.fh)).select("doc_id", "th", "host", "pos")
+    # repeated rows have the same lines: each position counts once; bounded by one document's lines
+    lost = lost.groupBy("doc_id", "th", "host").agg(F.collect_set("pos").alias("gone"))
+    lost = cut(lost, "lost").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("host").alias("s"), "gone")
 
     w = rows.select("doc_id", "host", "th", "text", words(F.col("text")).alias("w"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("l"))
     sorted_ = w.select(
-        "doc_id", "host", "th", F.size("w").cast("bigint").alias("n_words"),
+        "doc_id", "host", "th", "text", F.size("w").cast("bigint").alias("n_words"),
         (F.length(F.coalesce("text", F.lit(""))) - F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_BLANK))).cast("bigint").alias("word_chars"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
@@ -67,7 +68,11 @@ def line_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
     starts = "sort_array(filter(transform(p, (x, j) -> case when (j > 0 and shiftright(x, b) = shiftright(p[j - 1], b)) or (j < size(p) - 1 and shiftright(x, b) = shiftright(p[j + 1], b)) then x & (shiftleft(1L, b) - 1) end), x -> x is not null))"
     found = sorted_.withColumn("q", F.expr(starts))
     covered = "cast(aggregate(q, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)), a -> a.n) as bigint)"
-    stats = found.select("doc_id", "host", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
-    joined = stats.join(lost, stats.doc_id.eqNullSafe(lost.d) & stats.th.eqNullSafe(lost.t) & stats.host.eqNullSafe(lost.s), "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    stats = found.select("doc_id", "host", "th", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
+    # texts are joined by a merge at every size, so that what is shuffled follows the input
+    joined = stats.join(lost.hint("merge"), stats.doc_id.eqNullSafe(lost.d) & stats.th.eqNullSafe(lost.t) & stats.host.eqNullSafe(lost.s), "left")
+    without = F.array_join(F.expr("filter(split(text, '\n', -1), (x, i) -> not array_contains(gone, i))"), "\n")
+    joined = joined.withColumn("kept_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without))
+    joined = joined.withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(words(F.col("kept_text")))).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", failed.alias("base_failed"), (~failed & (F.col("n_removed") <= max_removed * F.col("n_words"))).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "kept_text", failed.alias("base_failed"), (~failed & (F.col("n_removed") <= max_removed * F.col("n_words"))).alias("kept"))

@@ -415,6 +415,17 @@ def test_op10_depleted(spark):
     assert got[0].kept and got[0].n_removed == 7 and not got[100].kept and not got[100].base_failed and got[200].n_removed == 0
 
 
+def test_op10_returns_texts_without_frequent_lines(spark):
+    body = [f"own words of {i} here" for i in range(12)]
+    texts = [f"Share\nThe same long line\n\n{b}\n the  SAME long line" for b in body] + [None, "", "alone\n"]
+    frame = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in linefreq.line_quality(frame, line_limit=10).collect()}
+    assert [got[i].kept_text for i in range(15)] == [f"Share\n\n{b}" for b in body] + [None, "", "alone\n"]
+    assert [got[i].n_removed for i in range(15)] == [8] * 12 + [0] * 3
+    got = {r.doc_id: r for r in linefreq.line_quality(frame, line_limit=10, min_line_words=1).collect()}
+    assert [got[i].kept_text for i in range(12)] == [f"\n{b}" for b in body] and {got[i].n_removed for i in range(12)} == {9}
+
+
 def test_op4(spark):
     rows = [("r/a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("r/a/b/c.txt", "nothing"), ("r/a/b/d.txt", "x\nReleased under the MIT License.\ny"), ("r/e.txt", None), (None, "Released under the MIT License."), ("top", ""), ("r/a/b/c.txt", "nothing")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
