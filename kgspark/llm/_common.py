@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators.storage import cut, discard, shared_dir
+from kgspark.operators.storage import cut, discard, scratch, shared_dir
 
 ARROW_ROWS = 500
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Texts can be long, so fewer rows than Spark's default go to a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows. Spark bounds a batch by bytes; this bounds what a worker holds as Python objects, without a session setting."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -48,14 +50,13 @@ def map_texts(df: DataFrame, text: str, fields: dict[str, tuple[str, pa.DataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             got = work(batch.column(batch.schema.names.index(text)).to_pylist())
             columns = [batch.column(batch.schema.names.index(c)) for c in kept]
             columns += [pa.array(values, kind) for values, (_, kind) in zip(got, fields.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *fields])
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ARROW_ROWS", "SPACE", "cut", "ddl", "discard", "free_name", "map_texts", "shared_dir", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "SPACE", "cut", "ddl", "discard", "free_name", "map_texts", "scratch", "shared_dir", "sliced", "table"]

@@ -36,7 +36,7 @@ tri AS (SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range
 rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 norm AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS x FROM (SELECT doc_id, source, unnest(l) AS x FROM d)),
-long AS (SELECT doc_id, source, x, len(string_split(x, ' ')) AS n FROM norm WHERE len(string_split(x, ' ')) >= 3),
+long AS (SELECT doc_id, source, x, len(string_split(x, ' ')) AS n FROM norm WHERE x <> ''),
 often AS (SELECT source, x FROM long GROUP BY ALL HAVING count(DISTINCT doc_id) > 100),
 lost AS (SELECT doc_id, sum(n) AS n FROM long JOIN often ON long.x = often.x AND long.source IS NOT DISTINCT FROM often.source GROUP BY doc_id),
 dup AS (SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n FROM d),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut, discard, map_texts, small_batches
+from kgspark.llm._common import cut, discard, map_texts
 from kgspark.operators.components import components
 
 SHINGLE, SEED, RADIUS, BUCKET_CAP = 4, 42, 4, 1024
@@ -106,8 +106,6 @@ def _link_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(u, v) over distinct fingerprints: a set of links with the same connected components as all pairs within ``radius``."""
-    spark = distinct.sparkSession
-    small_batches(spark, 20_000)
     family = [_signed(m) for m in masks(radius)]
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in enumerate(family)]))
     hashed = distinct.select(F.col(fp).alias("fp")).select("fp", tables.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("k"), "fp")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut, discard, small_batches
+from kgspark.llm._common import cut, discard, sliced
 from kgspark.llm.automaton import SuffixAutomaton
 
 SIZE, K, SHARD_WORDS, HOT_PASSAGES, BROADCAST_KEYS = 13, 5, 40_000, 200, 4_000_000
@@ -205,8 +205,6 @@ def remove_repeats(
     hot_passages: int = HOT_PASSAGES, broadcast_keys: int = BROADCAST_KEYS, with_text: bool = False,
 ) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256`` and, where asked for, the ``kept_text`` (kept words joined by one space)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     candidates, several = _candidates(rows.where("doc is not null and text is not null"), size, k, broadcast_keys)
     found = cut(candidates.withColumn("key", F.unhex(F.md5("passage"))), "passages")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut, small_batches
+from kgspark.llm._common import cut, discard, sliced
 
 FRAME_BYTES, BUNDLE_BYTES, MIN_BYTES, LEVEL = 1 << 20, 64 << 20, 0, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -145,8 +145,6 @@ def resolve(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 def write_bundles(resolved: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """(name, content, records): one row a bundle, cut at ``bundle_bytes`` of records; written to shared storage."""
-    small_batches(resolved.sparkSession, 200)
-
     def run(batches):
         from pyspark import TaskContext
 
@@ -155,7 +153,7 @@ def write_bundles(resolved: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_by
         def finish():
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:04d}.warc.zst"]), pa.array([bundle.close()], pa.large_binary()).cast(pa.binary()), pa.array([bundle.index], INDEX)], names=["name", "content", "records"])
 
-        for batch in batches:
+        for batch in sliced(batches, 200):
             for r in batch.to_pylist():
                 bundle = bundle or _Bundle(frame_bytes)
                 digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
@@ -177,7 +175,6 @@ def record_index(bundles: DataFrame) -> DataFrame:
 
 def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
     """Read archives back frame by frame; every stored payload's digest is checked against its header."""
-    small_batches(bundles.sparkSession, 1)
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields += [("payload", pa.binary())] if with_payload else []
     schema = pa.schema(fields)
@@ -208,11 +205,9 @@ def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
     """Put bundles out as files in a folder that all executors share; each appears whole, by a rename. Returns (name, bytes)."""
     import os
 
-    small_batches(bundles.sparkSession, 1)
-
     def run(batches):
         os.makedirs(folder, exist_ok=True)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open(part := f"{folder}/.{name}.{os.getpid()}", "wb") as f:
                     f.write(content)

@@ -109,23 +109,33 @@ def test_op2(spark, sf, tmp_path):
 
 
 def test_op3(spark, sf, folder):
-    items = {str(r.item_id): r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     long = decontam.windows_of("x " * 40, 13)
     assert len(long) == 28
     for rows, got in both(spark, sf, folder, "op3_decontaminate"):
         want = Counter()
         for d, t, *_ in rows:
-            n, hit, found = decontam.brute_force(t if t is None or len(t) < 60_000 else t[:0] or t, {k: v for k, v in items.items()} if len(t or "") < 12_000 else {})
-            if len(t or "") < 12_000:
-                want[d, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n] += 1
-        short = {d for d, t, *_ in rows if len(t or "") < 12_000}
-        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got if r["doc_id"] in short) == want
+            n, hit, found = decontam.brute_force(t, items)
+            want[d, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n] += 1
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
+
+
+def test_op3_items_without_an_id_and_short_items(spark):
+    items = [(None, "Alpha beta gamma"), (None, None), (3, ""), (2, "delta"), (2, "delta"), (10, "epsilon zeta")]
+    docs = [(1, "x ALPHA, beta; gamma y"), (1, "x ALPHA, beta; gamma y"), (2, "delta epsilon zeta delta"), (None, "nothing"), (4, None), (5, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(*r, "z") for r in docs], "doc_id long, text string, _hits string")
+    want = Counter((d, *decontam.brute_force(t, [(None if i is None else str(i), x) for i, x in items])[:2], tuple(decontam.brute_force(t, [(None if i is None else str(i), x) for i, x in items])[2])) for d, t in docs)
+    for most in (16_000_000, 300):
+        got = decontam.decontaminate(frame, bench, max_pattern_chars=most)
+        assert got.columns == ["doc_id", "_hits", "n_words", "n_hit", "items"]
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == want
 
 
 def test_op3_several_automata(spark, sf):
     d, b = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
     one = {r.doc_id: (r.n_hit, r["items"], r.spans) for r in decontam.decontaminate(d.select("doc_id", "text"), b, with_spans=True).collect()}
-    many = {r.doc_id: (r.n_hit, r["items"], r.spans) for r in decontam.decontaminate(d.select("doc_id", "text"), b, with_spans=True, max_pattern_chars=3000).collect()}
+    many = {r.doc_id: (r.n_hit, r["items"], r.spans) for r in decontam.decontaminate(d.select("doc_id", "text"), b, with_spans=True, max_pattern_chars=40_000).collect()}
     assert one == many and any(v[0] for v in one.values())
 
 
@@ -420,10 +430,19 @@ def test_op10_returns_texts_without_frequent_lines(spark):
     texts = [f"Share\nThe same long line\n\n{b}\n the  SAME long line" for b in body] + [None, "", "alone\n"]
     frame = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in linefreq.line_quality(frame, line_limit=10).collect()}
-    assert [got[i].kept_text for i in range(15)] == [f"Share\n\n{b}" for b in body] + [None, "", "alone\n"]
-    assert [got[i].n_removed for i in range(15)] == [8] * 12 + [0] * 3
-    got = {r.doc_id: r for r in linefreq.line_quality(frame, line_limit=10, min_line_words=1).collect()}
-    assert [got[i].kept_text for i in range(12)] == [f"\n{b}" for b in body] and {got[i].n_removed for i in range(12)} == {9}
+    assert [got[i].kept_text for i in range(15)] == [f"\n{b}" for b in body] + [None, "", "alone\n"]
+    assert [got[i].n_removed for i in range(15)] == [9] * 12 + [0] * 3
+    bare = linefreq.line_quality(frame, line_limit=10, with_text=False)
+    assert Counter(bare.collect()) == Counter(tuple(getattr(r, c) for c in bare.columns) for r in got.values())
+
+
+def test_op10_repeated_rows_and_windows_by_words(spark):
+    rows = [(1, "a b c d a b c\na b c", "h", "x")] * 15 + [(None, "p q r s t p q r", None, "y"), (2, "z " * 40, "h", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lines string")
+    assert linefreq.line_quality(frame, line_limit=10).count() == 17
+    w = frame.select("doc_id", linefreq.words(frame.text).alias("w"))
+    for distrust in (False, True):
+        assert {(r.doc_id, r.n_repeat_words) for r in linefreq._repeats(w, distrust).collect()} == {(1, 9), (None, 6), (2, 40)}
 
 
 def test_op4(spark):
