@@ -1,22 +1,21 @@
-"""Token counts of whole texts, with overlap resynchronisation for huge documents.
+"""Token counts of whole texts by overlap resynchronisation.
 
-A document of more than ``chunk_chars`` characters is cut into chunks that overlap. Each chunk is encoded on its own, with
-offsets. Two neighbours are spliced at a boundary at which both start a token and which is *proven* stable: the
-character before it is white space, which this tokenizer's normaliser maps one by one and whose pre-tokenizer drops, so no
-merge, composition or added token can reach across. The tokens that follow must agree as well. Where an overlap holds no such
-boundary it is widened (doubled) until one is found or the rest of the document is one chunk.
+Every document is cut into chunks of ``chunk_chars`` characters that overlap by ``overlap_chars``; a shorter one is a single chunk. Chunks are encoded on their own, with
+offsets, in batches over many documents. Two neighbours are spliced at a boundary at which both start a token and which is *proven* stable: the
+character before it is white space, which this tokenizer's normaliser maps one by one and whose pre-tokenizer drops, or CJK punctuation before a letter,
+between which the pre-tokenizer always splits; so no merge, composition or added token can reach across. The tokens that follow must agree as well. Where
+an overlap holds no such boundary, it is widened (doubled) until one is found or the rest of the document is one chunk.
 
-Shorter documents are counted word by word: white space being the same proven boundary, a document's count is the
-sum over its white-space-separated words, and each worker remembers the library's counts in a bounded two-generation table.
 ``proven_barrier`` checks at load time that the vocabulary file has the parts this rests on; otherwise every text is encoded whole.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; special strings inside a text are read as the library's default
-reads them; a text without white space is one chunk, whatever its length; repeated rows are counted each on their own.
+reads them; a text without any boundary is one chunk, whatever its length; repeated rows are counted each on their own; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +23,12 @@ from pyspark.sql import functions as F
 
 from kgspark.llm._common import map_texts
 
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 512
-MEMO_WORDS = 250_000
-MEMO_WORD_CHARS = 48
+CHUNK_CHARS, OVERLAP_CHARS, BATCH_CHUNKS = 2048, 128, 1000
 AGREE = 3
 #: White space that the normaliser and pre-tokenizer treat alike and that Unicode composition never joins to a neighbour.
-BARRIERS = " \n\t\r"
+SPACES = " \n\t\r"
+#: Before a letter these are barriers too: composition leaves them alone, and letters and punctuation are different pre-tokens.
+CJK_STOPS = "。，、！？；：「」『』（）"
 
 
 def proven_barrier(tokenizer_json: str) -> bool:
@@ -70,12 +68,16 @@ def splice_count(text: str, encode, chunk_chars: int = CHUNK_CHARS, overlap_char
     return total + len(held)
 
 
+def is_barrier(text: str, p: int) -> bool:
+    return text[p - 1] in SPACES or (text[p - 1] in CJK_STOPS and text[p].isalpha())
+
+
 def _boundary(text: str, held: list, new: list, begin: int, end: int) -> int | None:
-    """A common token start after white space, with AGREE equal tokens behind it (or all that are left of the older chunk)."""
+    """A common token start behind a barrier, with AGREE equal tokens after it."""
     older = {x[0]: k for k, x in enumerate(held) if x[0] > begin}
     for k, x in enumerate(new):
         p = x[0]
-        if p <= begin or p not in older or text[p - 1] not in BARRIERS:
+        if p <= begin or p not in older or not is_barrier(text, p):
             continue
         j = older[p]
         m = min(AGREE, len(held) - j)
@@ -84,11 +86,49 @@ def _boundary(text: str, held: list, new: list, begin: int, end: int) -> int | N
     return None
 
 
+def _seam(text: str, old, new, old_at: int, new_at: int, old_end: int) -> tuple[int, int] | None:
+    """As ``_boundary``, on two of the library's encodings: the token's index in the older and in the newer one."""
+    a, b = old.ids, new.ids
+    for p in range(new_at + 1, min(old_end, len(text))):
+        if not is_barrier(text, p):
+            continue
+        j, i = old.char_to_token(p - old_at), new.char_to_token(p - new_at)
+        if j is None or i is None or old.token_to_chars(j)[0] != p - old_at or new.token_to_chars(i)[0] != p - new_at:
+            continue
+        if j + AGREE <= len(a) and a[j : j + AGREE] == b[i : i + AGREE] and old.token_to_chars(j + AGREE - 1)[1] + old_at < old_end:
+            return j, i
+    return None
+
+
+def spliced_counts(texts: list, encode_batch, encode, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[int]:
+    """Tokens of each text (None counts 0). Chunks of all texts are encoded in batches; a text with a seam that fails is widened by ``splice_count``."""
+    overlap = min(overlap_chars, chunk_chars // 2) or 1
+    out, failed = [0] * len(texts), set()
+    pieces = ((k, at) for k, t in enumerate(texts) if t for at in range(0, max(1, len(t) - overlap), chunk_chars - overlap))
+    last = None  # (text, encoding, where it starts, index of its first token that counts)
+    while some := list(islice(pieces, BATCH_CHUNKS)):
+        for (k, at), e in zip(some, encode_batch([texts[k][at : at + chunk_chars] for k, at in some]), strict=True):
+            first = 0
+            if at and k not in failed:
+                _, old, old_at, old_first = last
+                seam = _seam(texts[k], old, e, old_at, at, old_at + chunk_chars)
+                if seam is None or seam[0] < old_first:
+                    failed.add(k)
+                else:
+                    out[k] += seam[0] - len(old)  # what the older chunk has behind the seam is the newer one's
+                    first = seam[1]
+            out[k] += len(e) - first
+            last = (k, e, at, first)
+    for k in failed:
+        out[k] = splice_count(texts[k], encode, chunk_chars, overlap)
+    return out
+
+
 _loaded: dict[tuple, object] = {}
 
 
 def _counter(path: str, chunk_chars: int, overlap_chars: int):
-    """The counting function; a worker process loads a vocabulary once, and its memory of words serves all its tasks."""
+    """The counting function; a worker process loads a vocabulary once."""
     key = (path, chunk_chars, overlap_chars)
     if key not in _loaded:
         _loaded[key] = _load(*key)
@@ -103,52 +143,17 @@ def _load(path: str, chunk_chars: int, overlap_chars: int):
 
     spec = open(path, encoding="utf-8").read()
     tok = Tokenizer.from_str(spec)
-    barrier = proven_barrier(spec)
-    young: dict[str, int] = {}
-    old: dict[str, int] = {}
 
     def encode(s):
         e = tok.encode(s, add_special_tokens=False)
         return [(a, b, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
 
-    def count(texts):
-        nonlocal young, old
-        out: list = [0] * len(texts)
-        split = {}
-        missing = set()
-        for k, t in enumerate(texts):
-            if not t:
-                continue
-            if not barrier:
-                out[k] = len(tok.encode(t, add_special_tokens=False).ids)
-            elif len(t) > chunk_chars:
-                out[k] = splice_count(t, encode, chunk_chars, overlap_chars)
-            else:
-                split[k] = words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                missing.update(words)
-        known = {}
-        ask = []
-        for w in missing:
-            n = young.get(w)
-            if n is None and (n := old.get(w)) is not None:
-                young[w] = n
-            if n is None:
-                ask.append(w)
-            else:
-                known[w] = n
-        for lo in range(0, len(ask), 2000):
-            part = ask[lo : lo + 2000]
-            for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = n = len(e)
-                if len(w) <= MEMO_WORD_CHARS:
-                    young[w] = n
-        if len(young) > MEMO_WORDS:
-            young, old = {}, young
-        for k, words in split.items():
-            out[k] = sum(map(known.__getitem__, words))
-        return [out]
-
-    return count
+    def encode_batch(parts):
+        return tok.encode_batch(parts, add_special_tokens=False)
+
+    if not proven_barrier(spec):
+        return lambda texts: [[len(tok.encode(t or "", add_special_tokens=False)) for t in texts]]
+    return lambda texts: [spliced_counts(texts, encode_batch, encode, chunk_chars, overlap_chars)]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, keep_text: bool = False) -> DataFrame:

@@ -81,6 +81,10 @@ def test_splice(docs):
     for t in texts:
         for chunk, overlap in ((200, 20), (1000, 64), (64, 1)):
             assert tokens.splice_count(t, encode, chunk, overlap) == len(tok.encode(t, add_special_tokens=False)), (t[:30], chunk)
+    for chunk, overlap in ((200, 20), (1000, 64), (64, 1), (2048, 128)):
+        some = [None, "", *texts, "天地玄黄。宇宙洪荒，" * 700, "a b " * 3, "e\u0301 \u0301x" * 900, *(t for _, t, *_ in docs[:60])]
+        got = tokens.spliced_counts(some, lambda parts: tok.encode_batch(parts, add_special_tokens=False), encode, chunk, overlap)
+        assert got == [len(tok.encode(t or "", add_special_tokens=False)) for t in some]
 
 
 def test_op2(spark, sf, tmp_path):
