@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.storage import cut, discard, scratch, shared_dir
@@ -33,6 +33,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """``row`` (a struct of all columns of ``df``) and ``extra``: whatever names ``df`` has, they can't clash with those of a join."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in extra.items()])
+
+
 def ddl(df: DataFrame, extra: str) -> str:
     """The schema of ``df`` with further fields, as DDL."""
     own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
@@ -46,6 +51,8 @@ def map_texts(df: DataFrame, text: str, fields: dict[str, tuple[str, pa.DataType
     a field. Every other column passes through; the text itself is returned only where asked for.
     """
     kept = [c for c in df.columns if keep_text or c != text]
+    if clash := {c.lower() for c in kept} & {c.lower() for c in fields}:
+        raise ValueError(f"the table already has columns named {sorted(clash)}")
     schema = ddl(df.select(*[F.col(f"`{c}`") for c in kept]), ", ".join(f"`{n}` {t[0]}" for n, t in fields.items())).lstrip(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,4 +66,4 @@ def map_texts(df: DataFrame, text: str, fields: dict[str, tuple[str, pa.DataType
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ARROW_ROWS", "SPACE", "cut", "ddl", "discard", "free_name", "map_texts", "scratch", "shared_dir", "sliced", "table"]
+__all__ = ["ARROW_ROWS", "SPACE", "cut", "ddl", "discard", "free_name", "map_texts", "packed", "scratch", "shared_dir", "sliced", "table"]

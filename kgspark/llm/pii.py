@@ -3,13 +3,15 @@
 Base spans (email, ip, card, phone) are found with offsets: the pieces between matches and the matches themselves give every start. The patterns are
 written with possessive quantifiers and anchored where a run begins or the last match ended, so no text makes them backtrack in its square.
 
-Sanitisation: for each protected entity (the value of a base span) the terms within ``near`` words of it are read. Over the corpus, n(t, e) counts the
-documents where term t stands near e, n(t) those that hold t at all; t leaves -log2(n(t, e) / n(t)) bits of uncertainty about e. A term with
-at most ``max_bits`` bits left, and at least ``support`` documents, discloses e and becomes a span of kind ``term`` wherever it stands near e. Words are
-letters only, four or more, lower-cased; they never lie in a base span.
-
-Edge cases: null and empty texts have no spans; repeated rows are documents of their own and get the same spans; overlapping spans are merged when a
-text is rewritten; an empty table gives an empty result.
+Sanitisation: a protected entity is the value of a base span; values that always occur in the same texts (a person's address and phone, a page of contacts)
+are one entity, told by the set of their texts. Terms are runs of letters, lower-cased, outside base spans, anywhere in a text that holds the entity.
+Over the whole corpus n(e), n(t) and n(t, e) count the documents with the entity, the term, and both. A term leaves -log2(n(t, e) / (n(t) + 1)) bits of
+uncertainty about the entity and tells that much less than the entity's own information, -log2(n(e) / N). It discloses the entity if it leaves ``max_bits`` or
+less and tells ``min_gain`` or more (which no term can of an entity that is in a large part of all documents), and if ``support`` different texts hold both:
+fewer prove nothing, since any rare word of one text would. It becomes a span of kind ``term`` wherever it stands in the texts of that entity.
+
+Edge cases: null and empty texts have no spans; repeated rows are documents of their own and get the same spans, but are one text for ``support``; overlapping spans
+are merged when a text is rewritten; a null or repeated id changes nothing; an empty table gives an empty result; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut
+from kgspark.llm._common import cut, discard, packed
 
-NEAR, CONTEXT_CHARS, SUPPORT, MAX_BITS, TERM_CHARS = 3, 96, 5, 1.0, 4
+SUPPORT, MAX_BITS, MIN_GAIN, FOLD = 3, 0.5, 2.0, 64
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -47,20 +49,29 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<v, s, e>> of all matches with character offsets (end exclusive)."""
+    """array<struct<v, s, e>> of all matches with character offsets (end exclusive).
+
+    Starts are a running sum, folded in blocks of FOLD matches: arrays grow by a block's length and by a block, not by one match each over all of them.
+    """
     m, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<v:string,s:int,e:int>>)").alias("out"))
 
     def step(a, x):
         s = a["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("v"), s.alias("s"), e.alias("e")))).alias("out"))
 
+    def block(a, xs):
+        done = F.aggregate(xs, F.struct(a["at"].alias("at"), F.expr(_EMPTY).alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(a["out"], F.array(done["out"])).alias("out"))
+
     pairs = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda a, b: F.struct(a.alias("m"), F.coalesce(b, F.lit("")).alias("g")))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(pairs), F.lit(1)) - 1) / FOLD).cast("int")), lambda k: F.slice(pairs, k * FOLD + 1, F.lit(FOLD)))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_MATCHES}>)").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, block, lambda a: a["out"]))
 
 
-_EMPTY = "cast(array() as array<struct<v:string,s:int,e:int>>)"
+_MATCHES = "array<struct<v:string,s:int,e:int>>"
+_EMPTY = f"cast(array() as {_MATCHES})"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -84,48 +95,47 @@ def _tagged() -> Column:
     return F.array_sort(F.concat(*[F.transform(f"_{k}", named(i, k)) for i, k in enumerate(KINDS)]))
 
 
-def _near_terms() -> Column:
-    """array<struct<t, s, e>> of terms near the span x of text _t, clear of the context's cut ends."""
-    before_at = F.greatest(F.col("x.s") - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(F.col("_t"), before_at + 1, F.col("x.s") - before_at)
-    after = F.substring(F.col("_t"), F.col("x.e") + 1, F.lit(CONTEXT_CHARS))
-    whole_left = F.filter(located(before, WORD), lambda w: (w["s"] > 0) | (before_at == 0))
-    whole_right = F.filter(located(after, WORD), lambda w: (w["e"] < CONTEXT_CHARS))
-    left = F.transform(F.slice(whole_left, F.greatest(F.size(whole_left) - NEAR + 1, F.lit(1)), F.lit(NEAR)), lambda w: F.struct(F.lower(w["v"]).alias("t"), (w["s"] + before_at).alias("s"), (w["e"] + before_at).alias("e")))
-    right = F.transform(F.slice(whole_right, 1, NEAR), lambda w: F.struct(F.lower(w["v"]).alias("t"), (w["s"] + F.col("x.e")).alias("s"), (w["e"] + F.col("x.e")).alias("e")))
-    return F.concat(left, right)
-
-
-def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, max_bits: float = MAX_BITS) -> DataFrame:
-    """Near terms that disclose their entity: the rows of ``found`` (_id, _th, t, entity, s, e) that exceed the threshold."""
-    each = found.groupBy("t", "entity", "_id", "_th").agg(F.max("_rows").alias("_rows"))
-    pairs = cut(each.groupBy("t", "entity").agg(F.sum("_rows").alias("n_te")).where(F.col("n_te") >= support), "pairs")
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("_t"), "\\P{L}+", -1))).alias("w")).where(F.length("w") >= TERM_CHARS)
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), "\\P{L}+", -1), ""))
+
+
+def disclosing_terms(docs: DataFrame, some: DataFrame, support: int = SUPPORT, max_bits: float = MAX_BITS, min_gain: float = MIN_GAIN) -> DataFrame:
+    """(th, terms): spans of disclosing terms of each text of ``some`` (th, base, text) that has any; ``docs`` (text) is the whole corpus."""
+    total = docs.count()
+    value = F.when(F.col("x.kind") == "email", F.lower("x.v")).otherwise(F.regexp_replace("x.v", "[^0-9.]", ""))
+    texts = cut(some.groupBy("th").agg(F.count("*").alias("c"), F.first("base").alias("base"), F.first("text").alias("text")), "texts")
+    held = texts.select("th", "c", F.explode("base").alias("x")).select("th", "c", F.concat_ws(":", "x.kind", value).alias("entity")).distinct()
+    # the texts of an entity as a sum of hashes: equal sums of equally many texts are the same texts
+    sign = F.struct(F.count("*").alias("n_texts"), F.sum("c").alias("n_e"), F.sum(F.xxhash64("th").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.reverse("th")).cast("decimal(38,0)")).alias("h2"))
+    entities = cut(held.groupBy("entity").agg(sign.alias("g")).where((F.col("g.n_texts") >= support) & (F.col("g.n_e") * 2.0**min_gain <= total)), "entities")
+    member = cut(held.join(entities.select(F.col("entity").alias("own"), "g"), F.col("entity") == F.col("own")).select("th", "c", "g").distinct(), "members")
+    inside = F.filter(located(F.col("text"), WORD), lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
+    at_risk = texts.join(member.select(F.col("th").alias("risk")).distinct(), F.col("th") == F.col("risk"), "left_semi")
+    words = cut(at_risk.select("th", F.explode(inside).alias("w")).select("th", F.lower("w.v").alias("t"), "w.s", "w.e"), "words")
+    both = words.select("th", "t").distinct().join(member.withColumnRenamed("th", "m"), F.col("th") == F.col("m"))
+    pairs = cut(both.groupBy("g", "t").agg(F.sum("c").alias("n_te"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support), "pairs")
     # the whole vocabulary is counted before any join: what a join makes is then one row a pair, however common its terms are
-    counts = words.groupBy("w").agg(F.count("*").alias("n_t"))
-    told = pairs.join(counts, pairs.t == counts.w).where(-F.log2(F.col("n_te") / F.greatest("n_t", "n_te")) <= max_bits)
-    told = cut(told.select(F.col("t").alias("_tt"), F.col("entity").alias("_te")), "told")
-    return found.join(told, (F.col("t") == F.col("_tt")) & (F.col("entity") == F.col("_te"))).select("_id", "_th", "s", "e")
-
-
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, max_bits: float = MAX_BITS) -> DataFrame:
-    """Per row: ``_id``, ``_th`` (text hash), ``base`` and ``terms`` (sorted arrays of struct<s, rank, e, kind, v>)."""
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).alias("_text"))
-    base = find_base(keyed, "_text", ["_id", "_th"]).select("_id", "_th", "_t", _tagged().alias("base"))
+    counts = docs.select(F.explode(_words(F.col("text"))).alias("v")).groupBy("v").agg(F.count("*").alias("n_t"))
+    sure = F.log2(F.col("n_te") / (F.greatest("n_t", "n_te") + 1))
+    told = pairs.join(counts, F.col("t") == F.col("v")).where((-sure <= max_bits) & (sure - F.log2(F.col("g.n_e") / F.lit(float(max(total, 1)))) >= min_gain))
+    told = cut(told.select(F.col("g").alias("g2"), F.col("t").alias("t2")), "told")
+    marks = member.join(told, F.col("g") == F.col("g2")).select(F.col("th").alias("m"), "t2").distinct()
+    spans = words.join(marks, (F.col("th") == F.col("m")) & (F.col("t") == F.col("t2"))).groupBy("th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))  # bounded by one text
+    spans = cut(spans, "terms")
+    discard(texts, entities, member, words, pairs, told)
+    return spans
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, max_bits: float = MAX_BITS, min_gain: float = MIN_GAIN) -> DataFrame:
+    """Per row: ``id``, ``th`` (MD5 of a text with base spans, else null), ``base`` and ``terms`` (sorted arrays of struct<s, rank, e, kind, v>)."""
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    base = find_base(keyed, "text", ["id"]).select("id", "_t", _tagged().alias("base"))
     # texts without a base span have no terms either: only those with spans are looked at further
-    some = cut(base.select("_id", "_th", "base", F.when(F.size("base") > 0, F.col("_t")).alias("_t")), "base")
-    entities = some.where("_t is not null").select("_id", "_th", "_t", F.explode("base").alias("x"))
-    value = F.when(F.col("x.kind").isin("email"), F.lower("x.v")).otherwise(F.regexp_replace("x.v", "[^0-9.]", ""))
-    near = entities.select("_id", "_th", F.concat_ws(":", "x.kind", value).alias("entity"), F.explode(_near_terms()).alias("n"))
-    near = near.where(F.length("n.t") >= TERM_CHARS).select("_id", "_th", "entity", "n.t", "n.s", "n.e")
-    found = cut(near.groupBy("_id", "_th", "entity", "t", "s", "e").agg(F.count("*").alias("_rows")), "near")
-    told = disclosing_terms(keyed.select(F.coalesce("_text", F.lit("")).alias("_t")), found, support, max_bits)
-    terms = told.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("terms"))  # bounded by one document's spans
-    terms = cut(terms, "terms").select(F.col("_id").alias("_i2"), F.col("_th").alias("_h2"), "terms")
-    joined = some.drop("_t").join(terms, F.col("_id").eqNullSafe(F.col("_i2")) & F.col("_th").eqNullSafe(F.col("_h2")), "left")
-    clear = F.filter(F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int>>)")), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    shaped = F.array_sort(F.transform(clear, lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).alias("rank"), t["e"].alias("e"), F.lit("term").alias("kind"), F.lit("").alias("v"))))
-    return joined.select("_id", "_th", "base", shaped.alias("terms"))
+    base = cut(base.select("id", "base", F.when(F.size("base") > 0, F.md5("_t")).alias("th"), F.when(F.size("base") > 0, F.col("_t")).alias("text")), "base")
+    terms = disclosing_terms(keyed.select("text").where("text is not null"), base.where("th is not null"), support, max_bits, min_gain).withColumnRenamed("th", "of")
+    joined = base.drop("text").join(terms, F.col("th") == F.col("of"), "left")
+    shaped = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int>>)")), lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).alias("rank"), t["e"].alias("e"), F.lit("term").alias("kind"), F.lit("").alias("v")))
+    return joined.select("id", "th", "base", shaped.alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -134,7 +144,7 @@ def _joined(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return found.select(F.col("_id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
 def rewrite(text: Column, spans: Column) -> Column:
@@ -151,10 +161,13 @@ def rewrite(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with texts rewritten; ``n_chars``, where there is such a column, follows."""
     found = find(docs, doc_id, text)
-    spans = found.select("_id", "_th", F.array_sort(F.concat("base", "terms")).alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_id", "_th"])
-    spans = cut(spans, "spans")
-    joined = docs.join(spans.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_th")), "left")
-    clean = joined.withColumn(text, F.when(F.col("_spans").isNotNull(), rewrite(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    spans = found.where("th is not null").groupBy("th").agg(F.first("base").alias("base"), F.first("terms").alias("terms"))
+    spans = cut(spans.select("th", F.array_sort(F.concat("base", "terms")).alias("spans")), "spans")
+    rows = packed(docs, t=F.col(text), k=F.md5(F.col(text)))
+    # texts are joined by a merge at every size, so that what a stage shuffles follows its input
+    joined = rows.join(spans.hint("merge"), F.col("k") == F.col("th"), "left")
+    clean = joined.select("row", "spans", F.when(F.col("spans").isNotNull(), rewrite(F.col("t"), F.col("spans"))).otherwise(F.col("t")).alias("clean"))
+    new = {text: F.col("clean")}
     if n_chars in docs.columns:
-        clean = clean.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[n_chars] = F.when(F.col("spans").isNotNull(), F.length("clean")).otherwise(F.col("row")[n_chars]).cast(docs.schema[n_chars].dataType)
+    return clean.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -9,7 +9,8 @@
 Aggregates are partial before they are shuffled; the site table is joined back by size (one row a path).
 
 Edge cases: a null or empty text has all figures zero; null hosts and paths are sites of their own; several labels of one document are averaged, null labels are
-ignored; without labels there is no evidence and everything is kept; repeated rows weigh as often as they occur; an empty table gives an empty result.
+ignored; without labels there is no evidence and everything is kept; repeated rows weigh as often as they occur; an empty table gives an empty result; extra
+columns pass through whatever their names, and the struct takes a free one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import SPACE, cut, free_name
+from kgspark.llm._common import SPACE, cut, discard, free_name
 
 SAMPLE_ROWS, BINS = 20_000, 12
 #: Below one half, since a good document lost weighs more than a bad one kept. Picked on labels of the 0.1 tables.
@@ -37,7 +38,7 @@ def figures(text: Column) -> list[Column]:
     log = lambda x: F.floor(F.log2(1 + 63 * x))  # noqa: E731  fine near zero
     raw = [
         log(per_word("[#*$%&|<>]")), log(per_word("[A-Z]")), log(per_word("[!]")), F.floor(11 * F.size(F.array_distinct(w)) / n),
-        log(per_word("(?<![^\\x20\\x09-\\x0D])([^\\x20\\x09-\\x0D]{1,64})[\\x20\\x09-\\x0D]+\\1(?![^\\x20\\x09-\\x0D])")), F.floor(F.log2(n)), F.floor(F.length(t) / n),
+        log(per_word("(?<![^\\x20\\x09-\\x0D])([^\\x20\\x09-\\x0D]++)[\\x20\\x09-\\x0D]++\\1(?![^\\x20\\x09-\\x0D])")), F.floor(F.log2(n)), F.floor(F.length(t) / n),
         log(per_word("[0-9]")),
     ]
     return [F.greatest(F.least(x, F.lit(BINS - 1)), F.lit(0)).cast("int").alias(f"_f{k}") for k, x in enumerate(raw)]
@@ -87,7 +88,9 @@ def site_posteriors(scored: DataFrame, host: str, path: str, p: str) -> tuple[fl
     k_host, k_path = _strength(mean, _between(hosts, mean)), _strength(mean, _between(paths, mean))
     at_host = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("p_host"))
     joined = paths.join(at_host, paths.host.eqNullSafe(at_host.h))
-    return mean, cut(joined.select("host", "path", "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")), "sites")
+    sites = cut(joined.select("host", "path", "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")), "sites")
+    discard(paths)
+    return mean, sites
 
 
 def _logit(x: Column) -> Column:
@@ -95,21 +98,20 @@ def _logit(x: Column) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or ``keep``) with a struct column ``evidence``: p_doc, p_host, p_path, p and kept."""
+    """``docs`` (all columns, or ``keep``) with a struct column ``evidence``: p_doc, p_host, p_path, p and kept.
+
+    Figures are computed once and written together with the columns asked for; all passes that follow read that table.
+    """
     kept = docs.columns if keep is None else keep
     out = free_name(docs, "evidence")
-    cols = figures(F.col(text))
-    binned = cut(docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(path).alias("_path"), *cols), "figures")
-    prior, ratios = fit(binned, labels, "_id", sample_rows=sample_rows)
-    mean, sites = site_posteriors(binned.select("_host", "_path", document_score(prior, ratios).alias("_p")), "_host", "_path", "_p")
-    sites = sites.select(F.col("host").alias("_sh"), F.col("path").alias("_sp"), "p_host", "p_path")
+    own = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    binned = cut(docs.select(own, F.col(doc_id).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), *figures(F.col(text))), "figures")
+    prior, ratios = fit(binned, labels, "id", sample_rows=sample_rows)
+    rows = binned.select("row", "host", "path", document_score(prior, ratios).alias("p"))
+    mean, sites = site_posteriors(rows, "host", "path", "p")
+    sites = sites.select(F.col("host").alias("sh"), F.col("path").alias("sp"), "p_host", "p_path")
     mean = min(max(mean, 1e-9), 1 - 1e-9)
-    if kept == [doc_id]:
-        rows = binned.select(F.col("_id").alias(doc_id), "_host", "_path", document_score(prior, ratios).alias("_p"))
-    else:
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(host).alias("_host"), F.col(path).alias("_path"), *cols)
-        rows = rows.select(*[F.col(f"`{c}`") for c in kept], "_host", "_path", document_score(prior, ratios).alias("_p"))
-    joined = rows.join(sites, F.col("_host").eqNullSafe(F.col("_sh")) & F.col("_path").eqNullSafe(F.col("_sp")))
-    both = 1 / (1 + F.exp(-(_logit(F.col("_p")) + _logit(F.col("p_path")) - F.lit(math.log(mean / (1 - mean))))))
-    said = F.struct(F.round("_p", 6).alias("p_doc"), F.round("p_host", 6).alias("p_host"), F.round("p_path", 6).alias("p_path"), F.round(both, 6).alias("p"), (F.round(both, 6) >= threshold).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], said.alias(out))
+    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("sh")) & F.col("path").eqNullSafe(F.col("sp")))
+    both = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("p_path")) - F.lit(math.log(mean / (1 - mean))))))
+    said = F.struct(F.round("p", 6).alias("p_doc"), F.round("p_host", 6).alias("p_host"), F.round("p_path", 6).alias("p_path"), F.round(both, 6).alias("p"), (F.round(both, 6) >= threshold).alias("kept"))
+    return joined.select("row.*", said.alias(out))

@@ -287,6 +287,49 @@ def test_pii_terms(spark):
     assert "ann@x.org" not in clean[0] and "[EMAIL]" in clean[0] and "zanzibarist" not in clean[0] and clean[100] == rows[12][1]
 
 
+def term_rules(texts, support=pii.SUPPORT, max_bits=pii.MAX_BITS, min_gain=pii.MIN_GAIN):
+    """Term spans by text, entity by entity: which texts hold it, which terms they hold outside base spans, which of these disclose it."""
+    import math
+
+    texts = [t for t in texts if t is not None]
+    rows_of, base = Counter(texts), {t: base_rules(t) for t in set(texts)}
+    holds = defaultdict(set)
+    for t, spans in base.items():
+        for a, _, b, k in spans:
+            holds[k, t[a:b].lower() if k == "email" else re.sub("[^0-9.]", "", t[a:b])].add(t)
+    letters = re.compile(r"[^\W\d_]+")
+    n_t = Counter()
+    for t, c in rows_of.items():
+        n_t.update(dict.fromkeys({w.lower() for w in letters.findall(t)}, c))
+    free = {t: [(m.start(), m.end(), m[0].lower()) for m in letters.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b, _ in spans)] for t, spans in base.items() if spans}
+    out = defaultdict(set)
+    for inside in set(map(frozenset, holds.values())):
+        n_e = sum(rows_of[t] for t in inside)
+        for w in {w for t in inside for _, _, w in free[t]}:
+            own = [t for t in inside if any(x[2] == w for x in free[t])]
+            sure = math.log2(sum(rows_of[t] for t in own) / (n_t[w] + 1))
+            if len(own) >= support and -sure <= max_bits and sure - math.log2(n_e / len(texts)) >= min_gain:
+                for t in own:
+                    out[t] |= {(a, b) for a, b, x in free[t] if x == w}
+    return out
+
+
+def test_pii_terms_against_brute_force(spark, docs):
+    rnd = random.Random(7)
+    mine = []
+    for i in range(60):
+        who = rnd.choice("abcde")
+        words = [rnd.choice(["plain", "things", "zeta", who + "ist", who + "like", "mail"]) for _ in range(12)]
+        mine.append(f"{' '.join(words)} {who}@x.org tel +1 202 555 01{ord(who)} {i if i % 3 else ''}")
+    texts = [*mine, *mine[:9], None, "", "all@x.org " * 150 + "word", *(t for _, t, *_ in docs)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    want = term_rules(texts)
+    got = {r.id: {(x.s, x.e) for x in r.terms} for r in pii.find(frame).collect()}
+    assert got == {i: want.get(t, set()) for i, t in enumerate(texts)} and any(want.values())
+    safe = pii.sanitise(frame)
+    assert safe.columns == frame.columns and {r.spans for r in safe.collect()} == {"x"}
+
+
 def simhash_rules(rows):
     import xxhash
 
@@ -399,6 +442,69 @@ def test_op9_odd(spark, folder):
     assert all(r.evidence.kept for r in bare)
 
 
+def bins_of(text):
+    """The eight figures of a text by plain rules, as bins."""
+    import math
+
+    t = text or ""
+    w = WS.findall(t)
+    n = max(1, len(w))
+    same, i = 0, 0
+    while i + 1 < len(w):  # a pair of equal neighbours is used up
+        same, i = (same + 1, i + 2) if w[i] == w[i + 1] else (same, i + 1)
+    log = lambda x: math.floor(math.log2(1 + 63 * x))
+    raw = [log(len(re.findall(p, t)) / n) for p in (r"[#*$%&|<>]", "[A-Z]", "!")] + [math.floor(11 * len(set(w)) / n), log(same / n), math.floor(math.log2(n)), math.floor(len(t) / n), log(len(re.findall("[0-9]", t)) / n)]
+    return [min(max(x, 0), quality.BINS - 1) for x in raw]
+
+
+def test_op9_against_brute_force(spark, sf):
+    """Naive Bayes over bins, moments between sites, shrinkage and combination, in plain Python."""
+    import math
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang").collect()]
+    odd = [(-1, None, None, None), (-2, "", "a", None), (-3, "x" * 100 + " " + "x" * 100 + " y y y", None, "en"), (-3, "again", None, "en")]
+    frame = spark.createDataFrame([(*r, "p", "q", "r") for r in rows + odd], "doc_id long, text string, source string, lang string, p string, row string, evidence string")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    said = defaultdict(list)
+    for r in labels.collect():
+        said[r.doc_id].append(r.quality)
+    counts, seen = [[[1.0] * quality.BINS for _ in range(2)] for _ in range(8)], [1.0, 1.0]
+    bins = [bins_of(t) for _, t, *_ in rows + odd]
+    for (d, *_), b in zip(rows + odd, bins, strict=True):
+        if d in said:
+            q = int(sum(said[d]) / len(said[d]) >= 0.5)
+            seen[q] += 1
+            for k in range(8):
+                counts[k][q][b[k]] += 1
+    p_doc = []
+    for b in bins:
+        x = math.log(seen[1] / seen[0]) + sum(math.log(c[1][b[k]] / sum(c[1])) - math.log(c[0][b[k]] / sum(c[0])) for k, c in enumerate(counts))
+        p_doc.append(min(max(1 / (1 + math.exp(-x)), 1e-9), 1 - 1e-9))
+    mean = sum(p_doc) / len(p_doc)
+
+    def sites(key):
+        at = defaultdict(list)
+        for r, p in zip(rows + odd, p_doc, strict=True):
+            at[key(r)].append(p)
+        many = [v for v in at.values() if len(v) > 1]
+        n = sum(map(len, many))
+        b = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in many)
+        w = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1) for v in many)
+        between = max(0.0, b - w) / n
+        return at, min(quality.MAX_STRENGTH, max(quality.MIN_STRENGTH, mean * (1 - mean) / between - 1)) if between > 0 else quality.MAX_STRENGTH
+
+    (hosts, k_host), (paths, k_path) = sites(lambda r: r[2]), sites(lambda r: (r[2], r[3]))
+    at_host = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    at_path = {h: (sum(v) + k_path * at_host[h[0]]) / (len(v) + k_path) for h, v in paths.items()}
+    logit = lambda x: math.log(x / (1 - x))
+    want = sorted((d, p, at_host[h], at_path[h, g], 1 / (1 + math.exp(-(logit(p) + logit(at_path[h, g]) - logit(mean))))) for (d, _, h, g), p in zip(rows + odd, p_doc, strict=True))
+    scored = quality.score(frame, labels)
+    assert scored.columns == [*frame.columns, "evidence_"]
+    got = sorted((r.doc_id, *(r.evidence_[x] for x in ("p_doc", "p_host", "p_path", "p"))) for r in scored.collect())
+    assert len(got) == len(want) and all(g[0] == w[0] and all(abs(a - b) < 2e-6 for a, b in zip(g[1:], w[1:], strict=True)) for g, w in zip(got, want, strict=True))
+    assert all(r.evidence_.kept == (r.evidence_.p >= quality.THRESHOLD) for r in scored.collect())
+
+
 def line_rules(rows):
     out = Counter()
     for d, t, *_ in rows:
