@@ -10,7 +10,7 @@ some v is orthogonal to all of them and the pair collides in that table: no pair
 Only distinct fingerprints are hashed. A bucket of up to ``bucket_cap`` fingerprints is compared in blocks inside one task and gives
 links that connect what is within the radius (a spanning set, not all pairs). A larger bucket goes another exact way:
 every fingerprint emits the centres within r/2 of it (on the bits that the table drops); two fingerprints share a centre exactly if they are within
-r, so each centre's members are linked to the least of them. Work stays linear in the bucket's size.
+r (r is even here, odd radii are refused), so each centre's members are linked to the least of them. Work stays linear in the bucket's size.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other; repeated rows share their component; a null
 doc_id takes part but never names a component; an empty table gives an empty result.
@@ -43,6 +43,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
     h = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)] if len(words) >= shingle else [digest(joined, SEED)]
+    return fold(h)
+
+
+def fold(h) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if set in over half of them."""
+    if not len(h):
+        return 0
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(h), 8192):
         part = np.array(h[lo : lo + 8192], dtype="<u8")
@@ -106,6 +113,8 @@ def _link_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(u, v) over distinct fingerprints: a set of links with the same connected components as all pairs within ``radius``."""
+    if radius % 2:
+        raise ValueError("the radius has to be even")
     family = [_signed(m) for m in masks(radius)]
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in enumerate(family)]))
     hashed = distinct.select(F.col(fp).alias("fp")).select("fp", tables.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("k"), "fp")
@@ -132,7 +141,7 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, bucket_cap:
     kept = masks(radius)
 
     def centres(batches):
-        half = (radius + 1) // 2
+        half = radius // 2
         balls: dict[int, np.ndarray] = {}
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)

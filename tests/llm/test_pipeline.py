@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as P
 from kgspark.llm import decontam, pii
-from kgspark.llm.simhash import fingerprint
+from kgspark.llm.similar import groups, shingle_hashes
 
 
 def rows(df):
@@ -25,7 +25,7 @@ def test_stages(spark, sf):
 
     once = given["near_duplicates"](spark, good, sf).cache()
     given_rows = rows(good)
-    prints = [fingerprint(r[1]) for r in given_rows]
+    sets = [set(shingle_hashes(r[1]).tolist()) for r in given_rows]
     root = list(range(len(given_rows)))
 
     def top(i):
@@ -33,9 +33,9 @@ def test_stages(spark, sf):
             i = root[i]
         return i
 
-    for i in range(len(prints)):
+    for i in range(len(sets)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
     groups = defaultdict(list)
     for i, r in enumerate(given_rows):
@@ -65,12 +65,22 @@ def test_stages(spark, sf):
 
 
 def test_repeated_rows_and_clashing_columns(spark, sf):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, evidence string, taken_ string, _spans string"
-    body = " ".join(f"word{i}" for i in range(80))
-    docs = spark.createDataFrame([(1, body, "en", "a", 1, "x", "y", "z"), (1, body, "en", "a", 1, "x", "y", "z"), (2, body, "en", "b", 1, "x", "y", "z"), (None, None, None, None, None, None, None, None)], schema)
+    """Every stage on a table that carries the names stages use inside, with repeated rows and a row of nulls."""
+    inside = "row id host path p evidence th fp root u v k node i h d t s e base terms spans taken size target _text _hits _spans _b_n_words clean of n".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in inside)
+    body = " ".join(f"word{i}" for i in range(80)) + " ann@x.org"
+    more = ["x"] * len(inside)
+    rows_ = [(1, body, "en", "a", 1, *more), (1, body, "en", "a", 1, *more), (2, body, "en", "b", 1, *more), (3, "other words " * 30, "en", "b", 1, *more), (None,) * (5 + len(inside))]
+    docs = spark.createDataFrame(rows_, schema)
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, sf)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        assert all(r[c] in ("x", None) for r in got.collect() for c in inside), name
     once = P.near_duplicate_stage(spark, docs, sf)
-    assert Counter(r.doc_id for r in once.collect()) == Counter({1: 1}) or Counter(r.doc_id for r in once.collect()) == Counter({1: 1, None: 1})
-    assert P.quality_stage(spark, docs, sf).columns == docs.columns and P.decontamination_stage(spark, docs, sf).count() == 4
+    assert Counter(r.doc_id for r in once.collect()) == Counter({1: 1, 3: 1, None: 1})
+    assert P.decontamination_stage(spark, docs, sf).count() == 5
+    mixed = P.mixing_stage(spark, docs, sf)
+    assert mixed.columns[-3:] == ["taken_", "size_", "target_"] and {r.doc_id for r in mixed.collect()} <= {1, 2, 3}
 
 
 def test_rows_of_different_groups_stay_whatever_their_ids(spark, sf):
@@ -81,6 +91,43 @@ def test_rows_of_different_groups_stay_whatever_their_ids(spark, sf):
     assert Counter(tuple(r) for r in once.collect()) == Counter([(None, a), (None, b), (0, c), (1, d), (3, e)])
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Independent changes to one text, with buckets cut into tiny blocks: the groups are those of all pairs."""
+    import random
+
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        x = list(base)
+        for _ in range(rnd.choice((1, 3, 6, 9, 14))):
+            x[rnd.randrange(len(x))] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(x))
+    texts += [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"] + [None, "", "one", "one"]
+    sets = [frozenset(shingle_hashes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root[top(i)] = top(j)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cap in (4, 2048):
+        got = {r.doc_id: r.root for r in groups(frame, bucket_cap=cap).collect()}
+        assert len(got) == len(texts) and all((got[i] == got[j]) == (top(i) == top(j)) for i in got for j in got), cap
+
+
+def test_run_leaves_only_its_result(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr("kgspark.operators.storage.shared_dir", lambda _: f"file://{tmp_path}")
+    mixed = P.run(spark, sf)
+    assert mixed.count() > 0 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["mixing"]
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
