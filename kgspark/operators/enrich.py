@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ ORDER = ["segment_id", "chunk_idx", "pos"]
 def _same(a: str, b: str, threshold: float) -> bool:
     from difflib import SequenceMatcher
 
-    if SequenceMatcher(None, a, b).ratio() >= threshold:
+    m = SequenceMatcher(None, a, b)
+    if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:  # the first two are upper bounds
         return True
     ta, tb = set(a.split()), set(b.split())
     return bool(ta | tb) and len(ta & tb) / len(ta | tb) >= 0.9
@@ -40,13 +43,23 @@ def leaders(names: list[str], threshold: float) -> dict[str, str]:
 
 
 def coreference(names: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(segment_id, name, canonical) from (segment_id, name). The greedy order matters, so each segment is one group; a segment is one line of text."""
-
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        shown = leaders(sorted(set(g["name"])), threshold)
-        return pd.DataFrame({"segment_id": g["segment_id"].iloc[0], "name": list(shown), "canonical": list(shown.values())})
-
-    return names.select("segment_id", "name").where("name is not null").distinct().groupBy("segment_id").applyInPandas(work, "segment_id string, name string, canonical string")
+    """(segment_id, name, canonical) from (segment_id, name). The greedy order matters, so a segment, which is one line of text, is one array.
+
+    A segment with one name needs no comparison; the others go to Python in Arrow batches, many segments at a time.
+    """
+    each = names.select("segment_id", "name").where("name is not null").groupBy("segment_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for segment, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shown = leaders(held, threshold) if len(held) > 1 else {held[0]: held[0]}
+                out[0].extend([segment] * len(shown))
+                out[1].extend(shown)
+                out[2].extend(shown.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["segment_id", "name", "canonical"])
+
+    return each.select(F.col("segment_id").cast("string"), "names").mapInArrow(work, "segment_id string, name string, canonical string")
 
 
 def apply_mapping(triplets: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -81,13 +81,15 @@ def run_model(chunks: DataFrame, make: Callable[[], Extractor], schema: str = TR
     return chunks.mapInPandas(work, schema)
 
 
-def default_mentions(text: Column) -> Column:
-    """array<struct<name, label>>: people, organisations and places, first seen wins; keywords up to three candidates where there are fewer than two."""
+def found_names(text: Column) -> Column:
+    """array<struct<name, label>>: people, organisations and places in the order of the three patterns, repeats included."""
     found = lambda pattern, label: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.struct(standardize_label(m).alias("name"), F.lit(label).alias("label")))
-    named = F.filter(F.concat(found(PERSON, "PERSON"), found(ORGANIZATION, "ORGANIZATION"), found(PLACE, "LOCATION")), lambda m: m["name"] != "")
-    names = F.transform(named, lambda m: m["name"])
-    first = F.filter(F.transform(named, lambda m, i: F.struct(m["name"].alias("name"), m["label"].alias("label"), (F.array_position(names, m["name"]) == i + 1).alias("first"))), lambda m: m["first"])
-    return F.transform(first, lambda m: F.struct(m["name"].alias("name"), m["label"].alias("label")))
+    return F.filter(F.concat(found(PERSON, "PERSON"), found(ORGANIZATION, "ORGANIZATION"), found(PLACE, "LOCATION")), lambda m: m["name"] != "")
+
+
+def first_seen(mentions: Column) -> Column:
+    """One mention a name, the first."""
+    return F.filter(mentions, lambda m, i: F.array_position(mentions["name"], m["name"]) == i + 1)
 
 
 def with_keywords(mentions: Column, text: Column) -> Column:
@@ -98,15 +100,27 @@ def with_keywords(mentions: Column, text: Column) -> Column:
 
 
 def default_extraction(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``chunks`` with ``mentions``: the deterministic extractor, wholly in Column expressions."""
-    staged = chunks.withColumn("_named", default_mentions(F.col(text)))
-    return staged.withColumn("mentions", with_keywords(F.col("_named"), F.col(text))).drop("_named")
+    """``chunks`` with ``mentions``: the deterministic extractor, wholly in Column expressions.
+
+    Each step is a column of its own: names that are read more than once are not computed more than once, least of all for every element of a lambda. Keywords come
+    up to three candidates where there are fewer than two names.
+    """
+    staged = chunks.withColumn("_all", found_names(F.col(text))).withColumn("_named", first_seen(F.col("_all")))
+    return staged.withColumn("mentions", with_keywords(F.col("_named"), F.col(text))).drop("_all", "_named")
+
+
+def mention_rows(extracted: DataFrame, keep: list[str]) -> DataFrame:
+    """One row a mention: ``keep, pos, name, label``.
+
+    The outer generator keeps the optimiser from guarding it by a filter on the array's size, for which the whole extraction would run again before the rows are exploded.
+    """
+    return extracted.select(*keep, F.posexplode_outer("mentions").alias("pos", "m")).where("pos is not null").select(*keep, "pos", "m.name", "m.label")
 
 
 def pair_relations(extracted: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """All ordered pairs i<j of a chunk's mentions (three to a few of them) as CO_OCCURS_WITH triplets with ``pos``."""
     pairs = F.flatten(F.transform("mentions", lambda a, i: F.transform(F.slice(F.col("mentions"), i + 2, F.greatest(F.size("mentions") - i - 1, F.lit(0))), lambda b: F.struct(a["name"].alias("source"), a["label"].alias("source_type"), b["name"].alias("target"), b["label"].alias("target_type")))))
-    rows = extracted.select(*keep, F.substring(text, 1, 200).alias("evidence"), F.posexplode(pairs).alias("pos", "p"))
+    rows = extracted.select(*keep, F.substring(text, 1, 200).alias("evidence"), F.posexplode_outer(pairs).alias("pos", "p")).where("pos is not null")
     return rows.select(*keep, "pos", "p.source", "p.source_type", F.lit("CO_OCCURS_WITH").alias("relation"), "p.target", "p.target_type", F.lit(1.0).alias("confidence"), "evidence")
 
 

@@ -33,7 +33,7 @@ def build_graph(docs: DataFrame, size: int = 256, overlap: int = 32, max_chunks:
     found = extract.default_extraction(parts)
     # one written table holds chunks and their mentions: all later stages start from it
     found = cut(found.withColumn("ord", F.struct("doc", "segment_idx", "chunk_idx")), "chunks")
-    mentions = found.select("segment_id", "chunk_id", "ord", F.posexplode("mentions").alias("pos", "m")).select("segment_id", "chunk_id", "pos", "m.name", "m.label", F.struct("ord", "pos").alias("ord"), F.lit(1.0).alias("confidence"))
+    mentions = extract.mention_rows(found, ["segment_id", "chunk_id", "ord"]).select("segment_id", "chunk_id", "pos", "name", "label", F.struct("ord", "pos").alias("ord"), F.lit(1.0).alias("confidence"))
     if extractor is None:
         trip = extract.pair_relations(found, ["segment_id", "chunk_id", "ord"]).withColumn("ord", F.struct("ord", "pos"))
     else:

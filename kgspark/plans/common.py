@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.lexical import segments
+from kgspark.session import spread
+
+
+#: Tables whose rows are texts, so that work per row is large.
+TEXTS = ("documents", "conversations")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

@@ -103,7 +103,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_FOUND} SELECT doc, segment_idx, pos, name, label FROM mentions")
 def smoke_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _mentions(spark, d).select("doc", "segment_idx", F.posexplode("mentions").alias("pos", "m")).select("doc", "segment_idx", "pos", "m.name", "m.label")
+    return extract.mention_rows(_mentions(spark, d), ["doc", "segment_idx"])
 
 
 @query(f"{_FOUND} SELECT a.name AS source, b.name AS target, 'CO_OCCURS_' || a.label || '_TO_' || b.label AS relation, count(*) AS n FROM mentions a JOIN mentions b ON a.doc = b.doc AND a.segment_idx = b.segment_idx AND a.pos < b.pos GROUP BY ALL")
