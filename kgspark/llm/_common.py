@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.storage import cut, discard, scratch, shared_dir
+from kgspark.session import bound_batches, spread
 
 ARROW_ROWS = 500
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    bound_batches(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows. Spark bounds a batch by bytes; this bounds what a worker holds as Python objects, without a session setting."""
+    """Batches of at most ``rows`` rows, which bounds what a worker holds as Python objects."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
@@ -63,6 +65,7 @@ def map_texts(df: DataFrame, text: str, fields: dict[str, tuple[str, pa.DataType
             columns += [pa.array(values, kind) for values, (_, kind) in zip(got, fields.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *fields])
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
