@@ -13,7 +13,7 @@ def bound_batches(spark: SparkSession) -> None:
 
     There is one value for all operators and it changes no result, so it doesn't matter which of them runs first or when a lazy frame is executed.
     """
-    if spark.conf.get(BATCH_BYTES[0], "-1b") == "-1b":
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
         spark.conf.set(*BATCH_BYTES)
 
 
