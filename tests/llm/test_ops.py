@@ -557,5 +557,46 @@ def test_op10_repeated_rows_and_windows_by_words(spark):
 
 def test_op4(spark):
     rows = [("r/a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("r/a/b/c.txt", "nothing"), ("r/a/b/d.txt", "x\nReleased under the MIT License.\ny"), ("r/e.txt", None), (None, "Released under the MIT License."), ("top", ""), ("r/a/b/c.txt", "nothing")]
-    got = licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "path string, text string, p string, up string")
+    got = licenses.scan_licenses(frame).collect()
     assert Counter((r.path, r.license, r.inherited_from) for r in got) == Counter({("r/a/LICENSE", "Apache-2.0", None): 1, ("r/a/b/c.txt", "Apache-2.0", "r/a"): 2, ("r/a/b/d.txt", "MIT", None): 1, ("r/e.txt", None, None): 1, (None, None, None): 1, ("top", None, None): 1})
+    assert {(r.p, r.up) for r in got} == {("x", "y")}
+
+
+GPL_NOTICE = """/*
+ * frob - frobs things
+ * Copyright (C) 2020 A. Author
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful, ...
+ */
+int main() { return 0; }"""
+
+
+def test_op4_whole_texts_notices_and_sentences(spark):
+    mit, apache, bsd = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["BSD-3-Clause"][-1]
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    cases = {
+        "a/LICENSE": ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrapped(mit), "MIT"), "b/COPYING": ("Copyright 2021 The Holders. All rights reserved.\n\n" + wrapped(bsd), "BSD-3-Clause"),
+        "c/x.py": ("# Copyright 2020 X\n#\n# " + wrapped(apache[3]).replace("\n", "\n# ") + "\n#\n# " + wrapped(apache[4]).replace("\n", "\n# ") + "\nimport os", "Apache-2.0"), "d/f.c": (GPL_NOTICE, "GPL-3.0"),
+        "e/g.rs": ("// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"), "f/h.go": ("// SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0"),
+        "g/page.txt": ("A long paragraph about gardens and their paths in summer. This work is licensed under the Creative Commons Attribution 4.0 International License. It goes on about roses and hedges for a while.", "CC-BY-4.0"),
+        "h/plain.txt": ("You can use this free software version under the terms that you like. " * 5 + "Nothing about rights here.", None), "i/long.txt": ("word " * 5000 + "\nReleased under the MIT License.", "MIT"),
+    }
+    frame = spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")
+    assert {r.path: r.license for r in licenses.scan_licenses(frame).collect()} == {p: x for p, (_, x) in cases.items()}
+
+
+def test_op4_what_a_template_needs():
+    _, rows = licenses.weights(licenses.TEMPLATES)
+    mass = defaultdict(dict)
+    for _, k, t, w in rows:
+        mass[k][t] = w * w
+    for (few, m), own in zip(licenses.needed(rows, licenses.THRESHOLD), mass.values(), strict=True):
+        others = sum(w for t, w in own.items() if t not in few)
+        assert others + sum(sorted((own[t] for t in few), reverse=True)[: m - 1]) < licenses.THRESHOLD**2
+        assert m >= 1 and not licenses.COMMON & set(few)
