@@ -113,6 +113,7 @@ def segment_chunks(edges: DataFrame) -> DataFrame:
     """(segment, chunk) by three kinds of path: direct, by way of a conversation, by way of a context."""
     e = edges.select("src", "dst", "label")
     step = lambda label: e.where(F.col("label") == label)
-    direct = step("HAS_CHUNK").select(F.col("src").alias("segment"), F.col("dst").alias("chunk"))
+    between = e.where(F.col("label").isin("HAS_CONVERSATION", "HAS_CONTEXT")).select(F.col("dst").alias("id"))
+    direct = step("HAS_CHUNK").join(between, F.col("src") == F.col("id"), "left_anti").select(F.col("src").alias("segment"), F.col("dst").alias("chunk"))
     via = [step(x).alias("a").join(step("HAS_CHUNK" if x == "HAS_CONVERSATION" else "HAS_DESCRIPTION_CHUNK").alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("segment"), F.col("b.dst").alias("chunk")) for x in ("HAS_CONVERSATION", "HAS_CONTEXT")]
     return direct.unionByName(via[0]).unionByName(via[1]).distinct()

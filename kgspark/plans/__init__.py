@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "graphs", "analytics", "pipelines")
+MODULES = ("texts", "graphs", "analytics", "layers", "pipelines")
 
 
 def load() -> None:

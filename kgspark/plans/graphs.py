@@ -79,15 +79,16 @@ def induced_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(trade_edges(spark, d), trade_nodes(spark, d).select("id", "community")).select("src", "dst", "community")
 
 
-@query(f"""WITH {SQL_TRADE}, s AS (SELECT dst AS id, list_distinct(list(src)) AS sig FROM edges GROUP BY dst)
-    SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.sig, b.sig)) / len(list_distinct(list_concat(a.sig, b.sig))), 9) AS jaccard FROM s a JOIN s b ON b.id = 'S' || (CAST(a.id[2:] AS BIGINT) + 1)""")
+@query(f"""WITH {SQL_TRADE}, s AS (SELECT dst AS id, list_distinct(list(src)) AS sig FROM edges GROUP BY dst), n AS (SELECT s.*, community % 5 AS community FROM s JOIN nodes USING (id))
+    SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.sig, b.sig)) / len(list_distinct(list_concat(a.sig, b.sig))), 9) AS jaccard FROM n a JOIN n b ON a.community = b.community AND a.id < b.id""")
 def neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Of suppliers in five groups: how alike their customers are, pair by pair."""
     from kgspark.functions.similarity import set_jaccard
 
-    sig = trade_edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.collect_set("src").alias("sig"))
-    b = sig.select(F.col("id").alias("b"), F.col("sig").alias("bs"))
-    nxt = F.concat(F.lit("S"), (F.substring("id", 2, 20).cast("bigint") + 1).cast("string"))
-    return sig.join(b, nxt == F.col("b")).select(F.col("id").alias("a"), "b", F.round(set_jaccard(F.col("sig"), F.col("bs")), 9).alias("jaccard"))
+    n = trade_nodes(spark, d)
+    sig = graph.neighbour_signature(trade_edges(spark, d).withColumn("label", F.lit("sells to")), n).join(n.where("node_type = 'SUPPLIER'").select("id", F.pmod("community", F.lit(5)).alias("community")), "id")
+    a, b = (sig.select(F.col("id").alias(x), F.col("sig").alias(f"{x}s"), "community") for x in "ab")
+    return a.join(b, "community").where("a < b").select("a", "b", F.round(set_jaccard(F.col("as"), F.col("bs")), 9).alias("jaccard"))
 
 
 @query(f"""WITH {SQL_TRADE}, t AS (SELECT node_type AS kind, node_type AS value, count(*) AS n, NULL::DOUBLE AS density, NULL::DOUBLE AS avg_degree FROM nodes GROUP BY node_type)

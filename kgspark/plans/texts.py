@@ -30,7 +30,8 @@ def segment_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_LINES} SELECT count(DISTINCT doc) AS documents, count(*) AS segments, sum(CASE WHEN length(content) >= 20 THEN 1 ELSE 0 END)::BIGINT AS long_segments FROM lines")
 def step_counters(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).agg(F.count_distinct("doc").alias("documents"), F.count("*").alias("segments"), F.sum((F.length("content") >= 20).cast("bigint")).alias("long_segments"))
+    rows = lines(spark, d)
+    return lexical.step_counters(rows, rows.where(F.length("content") >= 20)).withColumnRenamed("chunks", "long_segments")
 
 
 @query("SELECT event_id, upper(regexp_replace(regexp_replace(props, '[^\\p{L}\\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS label, upper(regexp_replace(regexp_replace(event_type, '[^\\p{L}\\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS kind FROM events")
@@ -62,11 +63,11 @@ def surface_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_NAMES}, k AS (SELECT x, lower(trim(x)) AS t FROM names),
     keys AS (SELECT x, 'ALPHA:' || t[1:1] AS key FROM k WHERE t <> '' UNION SELECT x, 'TOKEN:' || w FROM (SELECT x, unnest(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM k) WHERE length(w) > 2 AND w NOT IN {L.BLOCK_STOP_WORDS})
-    SELECT a.x AS a, b.x AS b, min(a.key) AS first_key FROM keys a JOIN keys b ON a.key = b.key AND a.x < b.x GROUP BY ALL""")
+    SELECT DISTINCT a.x AS a, b.x AS b FROM keys a JOIN keys b ON a.key = b.key AND a.x < b.x""")
 def block_pairs(spark: SparkSession, d: str) -> DataFrame:
-    keys = _names(spark, d).select("x", F.explode(L.blocking_keys(F.col("x"))).alias("key"))
-    a, b = keys.select(F.col("x").alias("a"), "key"), keys.select(F.col("x").alias("b"), "key")
-    return a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.min("key").alias("first_key"))
+    from kgspark.operators.resolve import block_pairs as pairs
+
+    return pairs(_names(spark, d).select(F.col("x").alias("id"), F.col("x").alias("text")))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 6) AS jaccard FROM (
@@ -191,11 +192,6 @@ def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     return lexical.hash_split(table(spark, d, "documents").select("doc_id"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def props_json(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
-
-
 @query(f"""WITH t AS (SELECT conv_id, turn, {_STD.format("regexp_extract(text, '[^ ]+')")} AS e, {_STD.format('text')} AS ev, {_STD.format('role')} AS h FROM conversations)
     SELECT conv_id, turn, e <> '' AND ev <> '' AND contains('_' || ev || '_', '_' || e || '_') AS grounded, e <> '' AND h <> '' AND (contains(e, h) OR contains(h, e)) AS matched FROM t""")
 def grounding(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +218,7 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def repaired_json(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit('Sure: ```json\n{"title": "'), F.substring("text", 1, 30), F.lit('", "summary": "a "quoted" part", "findings": [{"summary": "s", "explanation": "e"} {"summary": "t", "explanation": "u"}\n```'))
+    said = F.concat(F.lit('Sure: ```json\n{"title": "'), F.regexp_replace("text", '[\\\\"\\x00-\\x1F]', " "), F.lit('", "summary": "a "quoted" part", "findings": [{"summary": "s", "explanation": "e"} {"summary": "t", "explanation": "u"}\n```'))
     return table(spark, d, "conversations").select("conv_id", "turn", repair_json(said).alias("json"))
 
 
