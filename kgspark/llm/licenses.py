@@ -2,12 +2,12 @@
 
 A licence has several templates: its full text or that text's first part, its standard notice and the paragraphs of it, its SPDX form, its title and short statements. What is
 compared with them are the parts of a file: its lines, its sentences, its paragraphs (over line breaks and comment marks), and the whole of a licence file. A part's terms are
-weighed by (1 + ln tf) * idf, function words left out, where idf = ln((1 + N) / (1 + df)) + 1 comes from the N templates; a term that no template has gets df 0, and so lowers the cosine. The
+weighed by (1 + ln tf) * idf, function words left out and bare numbers at half their weight, where idf = ln((1 + N) / (1 + df)) + 1 comes from the N templates; a term that no template has gets df 0, and so lowers the cosine. The
 best template per file wins from ``threshold`` on (ties: the smaller name).
 
 Texts and parts that can't reach ``threshold`` are passed over before they are taken apart. A cosine is at most the length of what a part shares with the template's unit
-vector, so each template needs some of its terms: a short one any of a few anchors, without which the rest is too short; a long one at least so many of its
-terms as the heaviest need to be long enough. The bound is exact, so no part that matters is lost.
+vector, so it takes at least as many of a template's words as the heaviest of them need to be long enough, and LEAST in any case. The bound is exact, so no part that
+matters is lost.
 
 A directory's licence is the best one found in its licence files (ties: smaller name). A file without a licence of its own takes that of
 its nearest ancestor directory that has one; distinct directories are resolved first, by equi-joins on ancestor paths, and files join their directory.
@@ -99,6 +99,10 @@ TEMPLATES = {
 }
 #: Function words, which are no terms.
 COMMON = frozenset("a all an and any are as at be but by can do for from has have if in is it its may must no not of on one or see so such that the this to under use was who whom will with without you your".split())
+#: So many words (numbers aside) a part has to share with a template: one word proves nothing, however rare (*mit* is German for *with*).
+LEAST = 2
+#: What a bare number weighs beside a word: it tells versions, but no licence by itself.
+NUMBER = 0.5
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 #: Lower-cased first lines that make a document of the query a licence file.
 STATES = "(^|[^a-z0-9])(licen[cs]ed?|unlicense|copyright|spdx|public domain)($|[^a-z0-9])"
@@ -117,14 +121,14 @@ def weights(known: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], list[t
     idf = {t: math.log((1 + len(tf)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
     for name, k, c in tf:
-        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        w = {t: (1 + math.log(n)) * idf[t] * (NUMBER if t.isdigit() else 1) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         rows += [(name, k, t, x / norm) for t, x in w.items()]
     return idf, rows
 
 
 def needed(rows: list[tuple[str, int, str, float]], threshold: float) -> list[tuple[list[str], int]]:
-    """For each template (terms, m): whatever reaches ``threshold`` has m of these terms or more. Bare numbers are not among them where that can be."""
+    """For each template (its words, m): whatever reaches ``threshold`` has m of these or more."""
     by: dict[int, dict[str, float]] = {}
     for _, k, t, w in rows:
         by.setdefault(k, {})[t] = w * w
@@ -132,26 +136,27 @@ def needed(rows: list[tuple[str, int, str, float]], threshold: float) -> list[tu
     for mass in by.values():
         rare = sorted((t for t in mass if not t.isdigit()), key=lambda t: (-mass[t], t))
         got, m = 1 - sum(mass[t] for t in rare), 0
-        if got >= enough:
-            rare, got = sorted(mass, key=lambda t: (-mass[t], t)), 0.0
         while got < enough:
             got += mass[rare[m]]
             m += 1
-        if m == 1:  # as few of them as leave too little without any
-            rest = 1.0
-            rare = [t for t in rare if rest >= enough and (rest := rest - mass[t]) is not None]
-        out.append((rare, m))
+        out.append((rare, max(m, LEAST)))
     return out
 
 
 def promising(held: Column, needs: list[tuple[list[str], int]]) -> Column:
-    """Whether a set of terms can reach the threshold of any template."""
-    anchors = sorted({t for few, m in needs if m == 1 for t in few})
-    found = F.arrays_overlap(held, F.array(*map(F.lit, anchors))) if anchors else F.lit(False)
-    for rare, m in needs:
-        if m > 1:
-            found = found | (F.size(F.array_intersect(held, F.array(*map(F.lit, rare)))) >= m)
-    return found
+    """Whether terms can reach the threshold of any template.
+
+    What they share with all templates is bound to a variable by a lambda: a column would be computed again for each template where the optimiser pushes the condition below it.
+    """
+    strings = lambda xs: F.array(*map(F.lit, sorted(set(xs))))
+
+    def enough(shared: Column) -> Column:
+        found = F.lit(False)
+        for rare, m in needs:
+            found = found | ((F.size(shared) >= m) & (F.size(F.array_intersect(shared, strings(rare))) >= m))
+        return F.when(F.size(shared) < LEAST, F.lit(False)).otherwise(found)
+
+    return F.exists(F.array(F.array_intersect(held, strings(t for few, _ in needs for t in few))), enough)
 
 
 def scan(files: DataFrame, path: str, text: str, known: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, licence_file: str = LICENCE_FILE) -> DataFrame:
@@ -162,15 +167,16 @@ def scan(files: DataFrame, path: str, text: str, known: dict[str, tuple[str, ...
     vectors = F.broadcast(spark.createDataFrame(rows, "license string, template int, term string, weight double"))  # the templates are a fixed, small list
     known_idf = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     texts = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where("path is not null and text is not null")
-    texts = texts.withColumn("held", F.array_distinct(terms(F.col("text")))).where(promising(F.col("held"), needs)).drop("held")
+    texts = texts.where(promising(terms(F.col("text")), needs))
     parts = F.concat(*[F.split("text", s, -1) for s in SPLITS], F.when(F.col("path").rlike(licence_file), F.array("text")).otherwise(F.expr("cast(array() as array<string>)")))
-    each = texts.select("path", F.explode(F.array_distinct(parts)).alias("part")).select("path", F.md5("part").alias("unit"), terms(F.col("part")).alias("held")).where(promising(F.col("held"), needs))
-    each = each.dropDuplicates(["path", "unit"])  # one unit, however many rows hold it
+    each = texts.select("path", F.explode(F.array_distinct(parts)).alias("part")).select("path", F.md5("part").alias("unit"), terms(F.col("part")).alias("held"))
+    each = each.where(promising(F.col("held"), needs)).dropDuplicates(["path", "unit"])  # one unit, however many rows hold it
     exploded = each.select("path", "unit", F.explode("held").alias("term")).where(~F.col("term").isin(*sorted(COMMON)))
     tf = exploded.groupBy("path", "unit", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(known_idf, "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(foreign)))
+    number = F.when(F.col("term").rlike("^[0-9]+$"), NUMBER).otherwise(1.0)
+    weighed = tf.join(known_idf, "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(foreign)) * number)
     norm = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy("path", "unit", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = weighed.join(vectors, "term").groupBy("path", "unit", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").rlike("^[0-9]+$")).alias("shared")).where(F.col("shared") >= LEAST)
     scored = dots.join(norm, ["path", "unit"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
@@ -216,21 +222,22 @@ def _sql() -> str:
     rows = ", ".join("('{}', {}, '{}')".format(n, k, b.replace("'", "''")) for k, (n, b) in enumerate((n, b) for n, bodies in TEMPLATES.items() for b in bodies))
     begins = f"regexp_matches(lower(string_split(coalesce(text, ''), chr(10))[1]), '{STATES}')"
     n = sum(map(len, TEMPLATES.values()))
+    number = f"CASE WHEN regexp_matches(term, '^[0-9]+$') THEN {NUMBER} ELSE 1.0 END::DOUBLE"
     terms_of = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN {tuple(sorted(COMMON))})"
     parts = "list_concat(" + ", ".join(f"string_split_regex(text, '{s}')" for s in SPLITS) + f", CASE WHEN regexp_matches(path, '{LICENCE_FILE}') THEN [text] ELSE [] END)"
     return f"""
 WITH tpl(license, k, body) AS (VALUES {rows}),
 ttf AS (SELECT license, k, term, count(*) tf FROM (SELECT license, k, unnest({terms_of.format('body')}) term FROM tpl) GROUP BY ALL),
 idf AS (SELECT term, ln({n + 1.0} / (1 + count(*))) + 1 idf FROM ttf GROUP BY term),
-tw AS (SELECT license, k, term, (1 + ln(tf)) * idf w FROM ttf JOIN idf USING (term)),
+tw AS (SELECT license, k, term, (1 + ln(tf)) * idf * {number} w FROM ttf JOIN idf USING (term)),
 weights AS (SELECT license, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) weight FROM tw),
 f AS (SELECT doc_id, text, concat_ws('/', coalesce(source, 'null'), coalesce(lang, 'null'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'null'))
    || '/' || CASE WHEN {begins} THEN 'LICENSE-' ELSE '' END || coalesce(CAST(doc_id AS VARCHAR), 'null') || '.txt' AS path FROM documents),
 units AS (SELECT DISTINCT path, part FROM (SELECT path, unnest({parts}) part FROM f)),
 tf AS (SELECT path, part, term, count(*) tf FROM (SELECT path, part, unnest({terms_of.format('part')}) term FROM units) GROUP BY ALL),
-w AS (SELECT path, part, term, (1 + ln(tf)) * coalesce(idf, ln({n + 1.0}) + 1) w FROM tf LEFT JOIN idf USING (term)),
+w AS (SELECT path, part, term, (1 + ln(tf)) * coalesce(idf, ln({n + 1.0}) + 1) * {number} w FROM tf LEFT JOIN idf USING (term)),
 norm AS (SELECT path, part, sqrt(sum(w * w)) norm FROM w GROUP BY ALL),
-scored AS (SELECT path, license, round(sum(w * weight) / any_value(norm), 6) score FROM w JOIN weights USING (term) JOIN norm USING (path, part) GROUP BY path, part, license, k),
+scored AS (SELECT path, license, round(sum(w * weight) / any_value(norm), 6) score FROM w JOIN weights USING (term) JOIN norm USING (path, part) GROUP BY path, part, license, k HAVING count(*) FILTER (WHERE NOT regexp_matches(term, '^[0-9]+$')) >= {LEAST}),
 own AS (SELECT path, license, score FROM scored WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
 granted AS (SELECT regexp_replace(path, '/[^/]*$', '') up, license FROM own WHERE regexp_matches(path, '{LICENCE_FILE}')
    QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, license) = 1),
