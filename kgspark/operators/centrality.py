@@ -109,7 +109,10 @@ def path_centralities(nodes: DataFrame, edges: DataFrame, weighted: bool = False
     spark = nodes.sparkSession
     if edges.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges: use degree, PageRank, eigenvector or Katz instead")
-    ids = [r[0] for r in nodes.select("id").distinct().orderBy("id").limit(2 * max_edges).collect()]
+    listed = nodes.select("id").distinct()
+    if listed.limit(2 * max_edges + 1).count() > 2 * max_edges:
+        raise ValueError(f"more than {2 * max_edges} nodes: use degree, PageRank, eigenvector or Katz instead")
+    ids = [r[0] for r in listed.orderBy("id").collect()]
     index = {x: i for i, x in enumerate(ids)}
     n = len(ids)
     triples = [(index[r.src], index[r.dst], float(r.weight)) for r in edges.select("src", "dst", "weight").collect() if r.src in index and r.dst in index and r.src != r.dst]

@@ -55,22 +55,62 @@ def select_model(models: DataFrame) -> DataFrame:
     return models.withColumn("rank_sum", ranks).orderBy("rank_sum", F.desc("npmi"), F.desc("diversity"), "perplexity", "ord").limit(1)
 
 
-def lda(docs: DataFrame, k: int, tokens: str = "tokens", max_iter: int = 50, seed: int = 42, min_df: float = 3, max_df: float = 0.7, vocabulary: int = 3000, words: int = 15):
-    """(topics, doc_topics, metrics) by MLlib on uni- and bigram counts."""
-    from pyspark.ml.clustering import LDA
+def _counted(docs: DataFrame, fit_on: DataFrame, tokens: str, min_df: float, max_df: float, vocabulary: int):
+    """(documents with uni- and bigram counts, vocabulary); the vocabulary is that of ``fit_on``."""
     from pyspark.ml.feature import CountVectorizer, NGram
+
+    pairs = NGram(n=2, inputCol=tokens, outputCol="_bi")
+    grams = lambda x: pairs.transform(x).withColumn("_grams", F.concat(tokens, "_bi"))
+    counter = CountVectorizer(minDF=min_df, maxDF=max_df, vocabSize=vocabulary, inputCol="_grams", outputCol="features").fit(grams(fit_on))
+    return counter.transform(grams(docs)), counter.vocabulary
+
+
+def _fitted(train: DataFrame, test: DataFrame, names: list[str], k: int, max_iter: int, seed: int, words: int):
+    """(topics, model, metrics) of one model; perplexity is exp of MLlib's bound on the log perplexity per token of ``test``."""
+    import math
+
+    from pyspark.ml.clustering import LDA
+
+    model = LDA(k=k, maxIter=max_iter, seed=seed).fit(train)
+    listed = F.array(*[F.lit(v) for v in names]) if names else F.expr("cast(array() as array<string>)")
+    topics = model.describeTopics(words).select("topic", F.transform("termIndices", lambda i: F.element_at(listed, i + 1)).alias("words"))
+    return topics, model, {"k": k, "log_likelihood": model.logLikelihood(test), "perplexity": math.exp(model.logPerplexity(test))}
+
+
+def lda(docs: DataFrame, k: int, tokens: str = "tokens", max_iter: int = 50, seed: int = 42, min_df: float = 3, max_df: float = 0.7, vocabulary: int = 3000, words: int = 15, test_share: float = 0.0, key: str = "doc_id"):
+    """(topics, doc_topics, metrics) by MLlib on uni- and bigram counts. With a ``test_share`` the model is fitted on the other documents and judged on these."""
     from pyspark.ml.functions import vector_to_array
 
-    grams = NGram(n=2, inputCol=tokens, outputCol="_bi").transform(docs).withColumn("_grams", F.concat(tokens, "_bi"))
-    counter = CountVectorizer(minDF=min_df, maxDF=max_df, vocabSize=vocabulary, inputCol="_grams", outputCol="features").fit(grams)
-    data = counter.transform(grams)
-    model = LDA(k=k, maxIter=max_iter, seed=seed).fit(data)
-    names = F.array(*[F.lit(v) for v in counter.vocabulary]) if counter.vocabulary else F.expr("cast(array() as array<string>)")
-    topics = model.describeTopics(words).select("topic", F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("words"))
-    doc_topics = model.transform(data).withColumn("weights", vector_to_array("topicDistribution"))
+    from kgspark.operators.lexical import hash_split
+
+    split = hash_split(docs, test_share, seed, key)
+    train = split.where("not is_test")
+    data, names = _counted(split, train, tokens, min_df, max_df, vocabulary)
+    seen = data.where("not is_test")
+    topics, model, metrics = _fitted(seen, data.where("is_test") if test_share else seen, names, k, max_iter, seed, words)
+    doc_topics = model.transform(data.drop("is_test")).withColumn("weights", vector_to_array("topicDistribution"))
     share = doc_topics.select(F.array_max("weights").alias("m"), (F.array_position("weights", F.array_max("weights"))).alias("t")).agg(F.avg("m").alias("mean_dominant"), F.count_distinct("t").alias("active_topics")).first()
-    metrics = {"k": k, "log_likelihood": model.logLikelihood(data), "perplexity": model.logPerplexity(data), "mean_dominant": share.mean_dominant, "active_topics": share.active_topics}
-    return topics, doc_topics, metrics
+    return topics, doc_topics, metrics | {"mean_dominant": share.mean_dominant, "active_topics": share.active_topics}
+
+
+def lda_sweep(docs: DataFrame, ks: tuple[int, ...] = (6, 8, 12, 24, 36), tokens: str = "tokens", max_iter: int = 50, seed: int = 42, min_df: float = 3, max_df: float = 0.7, vocabulary: int = 3000, words: int = 15, test_share: float = 0.2, key: str = "doc_id"):
+    """(candidates, selected, topics): one model for each k, fitted on the training documents, with its coherence and diversity, and its perplexity on the others; the model of least rank sum."""
+    from kgspark.operators.lexical import hash_split
+    from kgspark.operators.storage import cut
+
+    split = hash_split(docs, test_share, seed, key)
+    data, names = _counted(split, split.where("not is_test"), tokens, min_df, max_df, vocabulary)
+    data = cut(data, "counts")
+    train, test = data.where("not is_test"), data.where("is_test")
+    rows, found = [], {}
+    for i, k in enumerate(ks):
+        topics, _, metrics = _fitted(train, test, names, k, max_iter, seed, words)
+        found[k] = topics
+        scores = coherence(data, topics, "_grams", key).agg(F.avg("npmi").alias("npmi"), F.avg("umass_mean").alias("umass")).first()
+        rows.append((i, k, scores.npmi, scores.umass, diversity(topics).first()[0], metrics["perplexity"]))
+    candidates = docs.sparkSession.createDataFrame(rows, "ord int, k int, npmi double, umass double, diversity double, perplexity double")
+    selected = select_model(candidates)
+    return candidates, selected, found[selected.first().k]
 
 
 def tokens_of(text: Column, stop_words: list[str]) -> Column:

@@ -69,9 +69,10 @@ def merge_redirect(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge_nodes(n, trade_edges(spark, d), m)[1]
 
 
-@query(f"WITH RECURSIVE {SQL_TRADE}, e AS (SELECT src, dst FROM edges WHERE weight > 1), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e), r(u, v) AS (SELECT u, u FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u) SELECT u AS node, min(v) AS root FROM r GROUP BY u")
+@query(f"""WITH RECURSIVE {SQL_TRADE}, b AS MATERIALIZED (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), r(u, v) AS (SELECT u, u FROM b UNION SELECT b.v, r.v FROM r JOIN b ON r.u = b.u WHERE r.v <= b.v)
+    SELECT u AS node, min(v) AS root FROM r GROUP BY u""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return components(trade_edges(spark, d).where("weight > 1").select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return components(trade_edges(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
 @query(f"WITH {SQL_TRADE} SELECT src, dst, a.community FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id AND a.community = b.community")
@@ -147,11 +148,13 @@ def pagerank_three_rounds(spark: SparkSession, d: str) -> DataFrame:
     return centrality.pagerank(trade_nodes(spark, d), trade_edges(spark, d), rounds=3, tolerance=0.0).select("id", F.round("score", 12).alias("score"))
 
 
-@query("""SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity,
-    round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)), 6) > 0.9 AS duplicate FROM nation a JOIN nation b ON a.n_name < b.n_name
-    WHERE round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)), 6) > 0.7""")
+_TITLE = "round(1 - levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 6)"
+
+
+@query(f"WITH t AS (SELECT DISTINCT p_type AS t FROM part UNION SELECT n_name FROM nation) SELECT a.t AS a, b.t AS b, {_TITLE} AS similarity, {_TITLE} > 0.9 AS duplicate FROM t a JOIN t b ON a.t < b.t WHERE {_TITLE} > 0.7")
 def title_levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return title_pairs(table(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_name").alias("title")))
+    t = table(spark, d, "part").select(F.col("p_type").alias("title")).union(table(spark, d, "nation").select("n_name")).distinct()
+    return title_pairs(t.select(F.col("title").alias("id"), "title"))
 
 
 @query(f"""WITH {SQL_TRADE} SELECT id AS src, CASE WHEN node_type = 'SUPPLIER' THEN 'SUBTOPIC_' || community || '_0' ELSE 'TOPIC_' || community END AS dst, 'IN_TOPIC' AS label FROM nodes
@@ -175,26 +178,22 @@ def community_quality(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("avg_size", "var_size", "size_ratio")}).withColumn("var_chars", F.round("var_chars", 2))
 
 
-def _strong(spark: SparkSession, d: str) -> DataFrame:
-    return trade_edges(spark, d).where("weight > 1")
-
-
 @query()
 def leiden_communities(spark: SparkSession, d: str) -> DataFrame:
-    return communities.partition(trade_nodes(spark, d), _strong(spark, d))
+    return communities.partition(trade_nodes(spark, d), trade_edges(spark, d))
 
 
 @query()
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return communities.number(communities.propagate(_strong(spark, d), 6))
+    return communities.number(communities.propagate(trade_edges(spark, d), 6))
 
 
 @query()
 def subcommunities(spark: SparkSession, d: str) -> DataFrame:
     from kgspark.operators.storage import cut
 
-    parts = cut(communities.partition(trade_nodes(spark, d), _strong(spark, d)), "parts")
-    return communities.subcommunities(_strong(spark, d), parts)
+    parts = cut(communities.partition(trade_nodes(spark, d), trade_edges(spark, d)), "parts")
+    return communities.subcommunities(trade_edges(spark, d), parts)
 
 
 @query()

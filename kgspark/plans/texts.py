@@ -70,14 +70,13 @@ def block_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs(_names(spark, d).select(F.col("x").alias("id"), F.col("x").alias("text")))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 6) AS jaccard FROM (
-    SELECT a.p_partkey, b.p_partkey AS q, CAST(len(list_intersect(string_split(a.p_name || ' ' || a.p_type, ' '), string_split(b.p_name || ' ' || b.p_type, ' '))) AS DOUBLE) AS i,
-      len(list_distinct(list_concat(string_split(a.p_name || ' ' || a.p_type, ' '), string_split(b.p_name || ' ' || b.p_type, ' ')))) AS u FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) AS z(x, y, i, u)
-    JOIN part a ON a.p_partkey = x JOIN part b ON b.p_partkey = y""")
+@query(f"""WITH {_NAMES}, k AS (SELECT x, lower(trim(x)) AS t FROM names), w AS (SELECT x, list_distinct(list_filter(string_split_regex(lower(x), '\\s+'), lambda y: y <> '')) AS w FROM names),
+    keys AS (SELECT x, 'ALPHA:' || t[1:1] AS key FROM k WHERE t <> '' UNION SELECT x, 'TOKEN:' || w FROM (SELECT x, unnest(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM k) WHERE length(w) > 2 AND w NOT IN {L.BLOCK_STOP_WORDS}),
+    p AS (SELECT DISTINCT a.x AS a, b.x AS b FROM keys a JOIN keys b ON a.key = b.key AND a.x < b.x)
+    SELECT a, b, round(len(list_intersect(v.w, u.w)) / len(list_distinct(list_concat(v.w, u.w))), 6) AS jaccard FROM p JOIN w v ON v.x = a JOIN w u ON u.x = b""")
 def token_jaccards(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    n = p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_partkey").alias("b"), F.col("t").alias("u"))
-    return p.join(n, p.p_partkey == n.k).select(F.col("p_partkey").alias("a"), "b", F.round(token_jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
+    """Of all names that share a blocking key: how alike their words are."""
+    return block_pairs(spark, d).select("a", "b", F.round(token_jaccard(F.lower("a"), F.lower("b")), 6).alias("jaccard"))
 
 
 # Java's \b and RE2's differ on letters beyond ASCII; the engine's patterns use look-arounds over all letters, and the SQL

@@ -43,12 +43,20 @@ def write_store(nodes: DataFrame, edges: DataFrame, folder: str, clean: bool = F
         new = clean_properties(df)
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+        if not fs.exists(p) and fs.exists(aside):  # an earlier call ended between its two renames
+            fs.rename(aside, p)
         if not clean and fs.exists(p):
             old = spark.read.parquet(path)
             new = new.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
+        # the old table is set aside, not deleted, until the new one has its place: a crash between leaves one of the two under a name that says what it is
         new.write.mode("overwrite").partitionBy(part).parquet(f"{path}.new")
-        fs.delete(p, True)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new"), p)
+        fresh, old_path = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{x}") for x in ("new", "old"))
+        fs.delete(old_path, True)
+        if fs.exists(p):
+            fs.rename(p, old_path)
+        fs.rename(fresh, p)
+        fs.delete(old_path, True)
         done[name] = spark.read.parquet(path).count()
     return done
 
@@ -134,9 +142,12 @@ def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return slim(nodes).select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json")).unionByName(slim(edges).select(F.lit("link").alias("kind"), F.to_json(F.struct("*")).alias("json")))
 
 
-def explorer_tables(nodes: DataFrame, edges: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """What an interactive explorer shows: entities and communities (the first ``most``), and the edges between them."""
-    n = nodes.where(F.col("node_type").isin("ENTITY_CONCEPT", "COMMUNITY", "SUBCOMMUNITY", "TOPIC", "SUBTOPIC")).orderBy("id").limit(most)
+def explorer_tables(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What an interactive explorer shows: entities and communities, and the edges between them; only the ``most`` connected ones where a number is given."""
+    n = nodes.where(F.col("node_type").isin("ENTITY_CONCEPT", "COMMUNITY", "SUBCOMMUNITY", "TOPIC", "SUBTOPIC"))
+    if most is not None:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("_e")).groupBy("_e").agg(F.count("*").alias("_d"))
+        n = n.join(ends, n.id == F.col("_e"), "left").orderBy(F.desc_nulls_last("_d"), "id").limit(most).drop("_e", "_d")
     ids = n.select("id")
     return n, edges.join(ids, edges.src == ids.id, "left_semi").join(ids, edges.dst == ids.id, "left_semi")
 

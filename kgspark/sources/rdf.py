@@ -140,16 +140,17 @@ def component_statistics(described: DataFrame) -> DataFrame:
     return described.groupBy("component").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(local_name(F.col("s")).isin(*FRBR_CORE), local_name(F.col("s"))))).alias("frbr"))
 
 
-def class_tree(rdf: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(s, root, depth, path) by a recursive query from the roots down; a class with several parents has several paths."""
+def class_tree(rdf: DataFrame) -> DataFrame:
+    """(s, root, depth, path) by a recursive query from the roots down; a class with several parents has several paths. Cycles end where they close; a tree
+    deeper than spark.sql.cteRecursionLevelLimit is an error."""
     spark = rdf.sparkSession
     classes(rdf).createOrReplaceTempView("_kg_classes")
     rdf.where((F.col("p") == RDFS + "subClassOf") & F.col("o_is_uri")).select("s", "o").distinct().createOrReplaceTempView("_kg_sub")
-    return spark.sql(f"""
+    return spark.sql("""
         WITH RECURSIVE tree(s, root, depth, path) AS (
             SELECT c.s, c.s, 0, array(c.s) FROM _kg_classes c LEFT ANTI JOIN (SELECT x.s FROM _kg_sub x JOIN _kg_classes y ON x.o = y.s WHERE x.s <> x.o) p ON c.s = p.s
             UNION ALL
-            SELECT k.s, t.root, t.depth + 1, concat(t.path, array(k.s)) FROM tree t JOIN _kg_sub k ON k.o = t.s WHERE t.depth < {max_depth} AND NOT array_contains(t.path, k.s))
+            SELECT k.s, t.root, t.depth + 1, concat(t.path, array(k.s)) FROM tree t JOIN _kg_sub k ON k.o = t.s WHERE NOT array_contains(t.path, k.s))
         SELECT s, root, depth, path FROM tree""")
 
 
