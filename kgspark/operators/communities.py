@@ -1,4 +1,4 @@
-"""Communities: Leiden in one task for each component (and grid cell), label propagation for components too large for a task."""
+"""Communities by modularity with a resolution: components too large for a task are coarsened over the cluster, then Leiden finishes each in one task."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from kgspark.operators.graph import merge_small, modularity, undirected
 from kgspark.operators.storage import cut, discard
 
 RESOLUTIONS, RUNS, MIN_SIZE, SEED, TASK_EDGES = (0.5, 0.75, 1.0, 1.25, 1.5), 10, 3, 42, 2_000_000
+MOVE_ROUNDS, STILL = 24, 200
 
 
 def _strengths(adj: list[dict[int, float]], loops: list[float]) -> list[float]:
@@ -144,7 +145,7 @@ def _local(g: pd.DataFrame, gamma: float, seed: int) -> pd.DataFrame:
 
 
 def propagate(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, rep) by synchronous label propagation over summed weights: the distributed way, for components no task should hold."""
+    """(id, rep) by synchronous label propagation over summed weights, for ``rounds`` rounds or until labels stay. A cheaper partition on its own; nothing falls back to it."""
     both = cut(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
     labels = cut(both.select(F.col("src").alias("id"), F.col("src").alias("rep")).distinct(), "labels")
     last = None
@@ -164,17 +165,80 @@ def propagate(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
+def _local_moves(both: DataFrame, gamma: float, seed: int, rounds: int = MOVE_ROUNDS) -> DataFrame:
+    """(id, rep): local moving over the cluster. ``both`` has each edge in both directions; loops appear once, as (v, v).
+
+    In a round a hashed half of the nodes looks at the communities next to it and goes to that of highest gain, w(v, c) - gamma * k(v) * K(c) / 2m; the halves are drawn
+    anew each round, so two nodes don't swap for ever. Rounds end when fewer than one node in STILL moves.
+    """
+    nodes = cut(both.groupBy(F.col("src").alias("id")).agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k")), "strengths")
+    total = nodes.agg(F.sum("k")).first()[0]
+    state = cut(nodes.select("id", "k", F.col("id").alias("c")), "state")
+    n = state.count()
+    for r in range(rounds):
+        to = state.select(F.col("id").alias("t"), F.col("c").alias("next"))
+        links = both.where("src <> dst").join(to, F.col("dst") == F.col("t")).groupBy(F.col("src").alias("v"), "next").agg(F.sum("weight").alias("w"))
+        weights = state.groupBy(F.col("c").alias("of")).agg(F.sum("k").alias("big"))
+        # a node's own community is a choice too, also where no neighbour of it is left there
+        mine = state.select("id", "k", "c")
+        offers = links.unionByName(mine.select(F.col("id").alias("v"), F.col("c").alias("next"), F.lit(0.0).alias("w"))).groupBy("v", "next").agg(F.sum("w").alias("w"))
+        scored = offers.join(mine, F.col("v") == F.col("id")).join(weights, F.col("next") == F.col("of"))
+        gain = F.col("w") - F.lit(gamma) * F.col("k") * (F.col("big") - F.when(F.col("next") == F.col("c"), F.col("k")).otherwise(0.0)) / F.lit(total)
+        best = scored.groupBy("id", "k", "c").agg(F.max(F.when(F.col("next") == F.col("c"), gain)).alias("stay"), F.min(F.struct((-gain).alias("g"), "next")).alias("b"))
+        goes = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(2)) == 0) & (-F.col("b.g") > F.col("stay") + 1e-12)
+        new = cut(best.select("id", "k", F.when(goes, F.col("b.next")).otherwise(F.col("c")).alias("c"), goes.alias("moved")), "state")
+        discard(state)
+        state = new
+        if new.where("moved").count() * STILL < n and r:
+            break
+    discard(nodes)
+    return state.select("id", F.col("c").alias("rep"))
+
+
+def coarsen(edges: DataFrame, gamma: float, seed: int, task_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """(members (id, super), edges between supers) of a graph of undirected edges, level by level until ``task_edges`` edges are left; no edges where nothing merges any more.
+
+    Communities of local moving are cut into their connected parts before they become nodes of the next level. A super node is named by its least id.
+    """
+    members, level = None, 0
+    while edges.count() > task_edges:
+        both = cut(edges.unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both")
+        moved = _local_moves(both, gamma, seed + level)
+        a, b = moved.select(F.col("id").alias("x"), F.col("rep").alias("cx")), moved.select(F.col("id").alias("y"), F.col("rep").alias("cy"))
+        inner = edges.where("src <> dst").join(a, F.col("src") == F.col("x")).join(b, (F.col("dst") == F.col("y")) & (F.col("cx") == F.col("cy")))
+        parts = components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        step = cut(moved.join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("super")), "supers")
+        s, t = step.select(F.col("id").alias("x"), F.col("super").alias("sx")), step.select(F.col("id").alias("y"), F.col("super").alias("sy"))
+        joined = edges.join(s, F.col("src") == F.col("x")).join(t, F.col("dst") == F.col("y"))
+        smaller = cut(joined.groupBy(F.least("sx", "sy").alias("src"), F.greatest("sx", "sy").alias("dst")).agg(F.sum("weight").alias("weight")), "level")
+        members = step if members is None else cut(members.join(step.select(F.col("id").alias("was"), F.col("super").alias("now")), F.col("super") == F.col("was")).select("id", F.col("now").alias("super")), "members")
+        discard(both)
+        if step.where("id <> super").isEmpty():  # no move gains anything: these are the communities
+            return members, None
+        edges, level = smaller, level + 1
+    return members, edges
+
+
 def detect(edges: DataFrame, gamma: float = 1.0, seed: int = SEED, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(id, rep) for the nodes with edges: Leiden by component; a component of more than ``task_edges`` edges is propagated over the cluster."""
+    """(id, rep) for the nodes with edges: Leiden by component. One objective, with ``gamma``, at every size: a component of more than ``task_edges`` edges is
+    coarsened over the cluster until it fits a task, as Leiden's own first levels would."""
+    kind = dict(edges.dtypes)["src"]
     und = cut(undirected(edges), "undirected")
     roots = cut(components(und.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "roots")
     tagged = und.join(roots, und.src == roots.node).select("root", "src", "dst", "weight")
     sizes = cut(tagged.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    small = tagged.join(sizes.where(F.col("n") <= task_edges), "root").groupBy("root").applyInPandas(lambda g: _local(g, gamma, seed), f"id {dict(und.dtypes)['src']}, rep {dict(und.dtypes)['src']}")
-    large = sizes.where(F.col("n") > task_edges)
-    if large.isEmpty():
-        return small
-    return small.unionByName(propagate(tagged.join(large, "root").select("src", "dst", "weight")))
+    leiden_of = lambda rows: rows.groupBy("root").applyInPandas(lambda g: _local(g, gamma, seed), f"id {kind}, rep {kind}")
+    small = leiden_of(tagged.join(sizes.where(F.col("n") <= task_edges), "root"))
+    large = [r.root for r in sizes.where(F.col("n") > task_edges).select("root").collect()]  # few: each has more edges than a task holds
+    for root in large:
+        members, coarse = coarsen(tagged.where(F.col("root") == root).select("src", "dst", "weight"), gamma, seed, task_edges)
+        if coarse is None:
+            small = small.unionByName(members.select("id", F.col("super").alias("rep")))
+            continue
+        top = leiden_of(coarse.withColumn("root", F.lit(root)))
+        found = members.join(top.select(F.col("id").alias("s"), "rep"), F.col("super") == F.col("s")).select("id", "rep")
+        small = small.unionByName(found)
+    return small
 
 
 def number(labelled: DataFrame) -> DataFrame:

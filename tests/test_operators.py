@@ -108,8 +108,17 @@ def test_leiden_cliques(spark):
     nodes = spark.createDataFrame([(x,) for x in [*ids, "alone"]], "id string")
     got = {r.id: r.community for r in communities.partition(nodes, e).collect()}
     assert got["a1"] == got["a4"] != got["b2"] and got["alone"] == 2 and set(got.values()) == {0, 1, 2}
-    large = {r.id: r.rep for r in communities.detect(e, task_edges=1).collect()}
-    assert set(large) == set(ids)
+    for most in (1, 4):  # coarsened over the cluster to the end, or until Leiden takes over
+        large = {r.id: r.rep for r in communities.detect(e, task_edges=most).collect()}
+        assert set(large) == set(ids) and set(large.values()) == {"a0", "b0"} and all(large[x][0] == x[0] for x in ids), most
+
+
+def test_coarsened_communities_reach_the_modularity_of_one_task(spark):
+    rnd = random.Random(1)
+    pairs = [(i, j, 1.0) for i in range(240) for j in range(i) if rnd.random() < (0.35 if i % 6 == j % 6 else 0.01)]
+    e = spark.createDataFrame(pairs, "src long, dst long, weight double")
+    q = [graph.modularity(e, communities.detect(e, task_edges=n).withColumnRenamed("rep", "community"), directed=False).first()[0] for n in (10**6, 300)]
+    assert q[1] > 0.97 * q[0] > 0.5
 
 
 def test_leiden_is_connected_and_better_than_one_community():
