@@ -67,6 +67,74 @@ TRIPLETS = "chunk_id string, pos int, source string, source_type string, relatio
 MENTIONS = "chunk_id string, pos int, text string, label string, confidence double, start int, end int, backend string"
 
 
+class Adapted:
+    """An extractor out of a plain function: text and hints in, (relations, nodes) or (relations, nodes, diagnostics) out.
+
+    Relations are (source, relation, target, properties), nodes are mappings with ``id`` and ``type``. Any other result, or an error, counts as nothing found.
+    """
+
+    def __init__(self, call: Callable[..., tuple]):
+        self.call = call
+
+    def one(self, text: str, hints: list[str], labels: list[str]) -> tuple[list, list, dict]:
+        try:
+            said = self.call(text, hints, labels)
+        except Exception:
+            return [], [], {}
+        if not isinstance(said, tuple) or len(said) not in (2, 3):
+            return [], [], {}
+        relations, nodes, *more = said
+        return list(relations or []), list(nodes or []), dict(more[0] or {}) if more else {}
+
+    def extract(self, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        empty = [[]] * len(batch)
+        for chunk, text, hints, labels in zip(batch["chunk_id"], batch["text"], batch.get("hints", empty), batch.get("labels", empty), strict=True):
+            relations, nodes, _ = self.one(text, list(hints), list(labels)) if text else ([], [], {})
+            kinds = {n.get("id"): n.get("type") for n in nodes}
+            for k, (source, relation, target, *props) in enumerate(relations):
+                p = props[0] if props and props[0] else {}
+                rows.append((chunk, k, source, kinds.get(source), relation, target, kinds.get(target), float(p.get("confidence", 1.0)), p.get("evidence", text)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRIPLETS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+#: Extractors by name; the values make one. Register more with ``register``.
+EXTRACTORS: dict[str, Callable[[], Extractor]] = {}
+
+
+def register(name: str, make: Callable[[], Extractor]) -> None:
+    EXTRACTORS[name] = make
+
+
+def extractor(backend: str | Callable[[], Extractor] | None) -> Callable[[], Extractor] | None:
+    """What makes the model of a configured name; a callable is taken as it is, and no name (or ``default``) means the one that needs no model."""
+    if backend is None or callable(backend):
+        return backend
+    if backend in ("", "default", "smoke"):
+        return None
+    if backend not in EXTRACTORS:
+        raise ValueError(f"no extractor is named {backend}; there are {sorted(EXTRACTORS) or 'none'}")
+    return EXTRACTORS[backend]
+
+
+def guided_triplets(chunks: DataFrame, mentions: DataFrame, make: Callable[[], Extractor], all_labels: list[str], key: str = "chunk_id") -> DataFrame:
+    """Triplets of a model with ``kept`` and ``drop_reason``: it sees a chunk's eligible mentions as hints and the labels found in it, and what it says is grounded in these.
+
+    ``chunks`` have the key, ``text`` and, where there are such, their own ``entities``; ``mentions`` have the key, pos, text, label, ontology_label and confidence.
+    """
+    names = eligible(mentions, key).select(F.col(key).alias("_n"), "names")
+    found = labels_found(mentions, all_labels, key).select(F.col(key).alias("_l"), "labels")
+    own = F.col("entities") if "entities" in chunks.columns else F.expr("cast(null as array<string>)")
+    joined = chunks.join(names, F.col(key) == F.col("_n"), "left").join(found, F.col(key) == F.col("_l"), "left")
+    whole = F.array(*[F.lit(x) for x in sorted(all_labels)]).cast("array<string>")
+    told = joined.select(F.col(key), "text", hints(own, F.col("names")).alias("hints"), F.coalesce("labels", whole).alias("labels"))
+    said = run_model(told, make).join(told.select(F.col(key).alias("_k"), "hints"), F.col(key) == F.col("_k")).drop("_k")
+    return ground(said).drop("hints")
+
+
 def run_model(chunks: DataFrame, make: Callable[[], Extractor], schema: str = TRIPLETS) -> DataFrame:
     """Run a model over chunks. It is built once in each task, sees Arrow batches and is closed at the end; retries belong inside it."""
 

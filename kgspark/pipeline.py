@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.functions.labels import DEFAULT_LABELS
 from kgspark.operators import communities, enrich, extract, graph, lexical, topics
 from kgspark.operators.storage import cut
 
@@ -26,8 +27,11 @@ class KGState:
     errors: list[str] = field(default_factory=list)
 
 
-def build_graph(docs: DataFrame, size: int = 256, overlap: int = 32, max_chunks: int = 0, coreference: float = 0.85, doc: str = "doc_id", text: str = "text", extractor=None) -> KGState:
-    """From (doc, text) to entity nodes and relations. ``extractor`` makes a model for ``extract.run_model``; the default needs none."""
+def build_graph(docs: DataFrame, size: int = 256, overlap: int = 32, max_chunks: int = 0, coreference: float = 0.85, doc: str = "doc_id", text: str = "text", extractor=None, labels: tuple[str, ...] = DEFAULT_LABELS) -> KGState:
+    """From (doc, text) to entity nodes and relations.
+
+    ``extractor`` makes a model; the default needs none. A model gets each chunk's eligible mentions as hints and the labels found in it, and only what is grounded in these stays.
+    """
     segs = lexical.segments(docs, doc, text)
     parts = lexical.chunk_budget(lexical.chunks(segs, size, overlap), max_chunks, ["doc", "segment_idx", "chunk_idx"])
     found = extract.default_extraction(parts)
@@ -37,7 +41,8 @@ def build_graph(docs: DataFrame, size: int = 256, overlap: int = 32, max_chunks:
     if extractor is None:
         trip = extract.pair_relations(found, ["segment_id", "chunk_id", "ord"]).withColumn("ord", F.struct("ord", "pos"))
     else:
-        raw = extract.run_model(found.select("chunk_id", "text"), extractor)
+        known = mentions.select("chunk_id", "pos", F.col("name").alias("text"), "label", F.col("label").alias("ontology_label"), "confidence")
+        raw = extract.guided_triplets(found.select("chunk_id", "text"), known, extractor, list(labels)).where("kept").drop("kept", "drop_reason")
         at = found.select(F.col("chunk_id").alias("_c"), "segment_id", F.col("ord").alias("_o"))
         trip = raw.join(at, raw.chunk_id == F.col("_c")).withColumn("ord", F.struct(F.col("_o").alias("ord"), "pos")).drop("_c", "_o")
     names = mentions.select("segment_id", "name").unionByName(trip.select("segment_id", F.explode(F.array("source", "target")).alias("name")))
@@ -69,16 +74,28 @@ def prune(nodes: DataFrame, edges: DataFrame, least: float = 0.0) -> tuple[DataF
     return graph.prune_isolated(nodes, kept), kept
 
 
+def topic_layer(state: KGState, parts: DataFrame, seed: int = 42, summariser=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(topic nodes, topic edges, summaries of topics, of sub-topics) of a partition. Sub-topics are summarised first, and topics read their summaries."""
+    parts = parts.withColumn("community", F.col("community").cast("bigint"))
+    subs = cut(communities.subcommunities(state.relations, parts, 2, seed), "subs")
+    nodes, edges = graph.hierarchy(state.nodes, parts, subs)
+    ents = state.nodes.join(graph.degrees(state.relations), "id").select("id", F.col("id").alias("name"), "degree")
+    say = topics.template_summary if summariser is None else lambda c: topics.summarise(c, summariser)
+
+    def told(members: DataFrame, below: DataFrame | None = None) -> DataFrame:
+        chunks = topics.topic_chunks(members, state.has_entity, state.chunks)
+        rel = graph.induced(state.relations, members).select("community", "src", "label", "dst")
+        return cut(say(topics.contexts(members, ents, rel, chunks, below)), "summaries")
+
+    of_subs = told(subs.select("id", F.concat_ws("_", F.col("community").cast("string"), F.col("sub_id").cast("string")).alias("community")))
+    below = of_subs.where("summary is not null").select(F.split("community", "_")[0].cast("bigint").alias("community"), "summary")
+    return nodes, edges, told(parts, below), of_subs
+
+
 def summarised_topics(state: KGState, gamma: float = 1.0, seed: int = 42, summariser=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topic nodes, topic edges, summaries): communities, sub-communities, hierarchy, contexts, and a summary of each topic."""
     parts = cut(communities.partition(state.nodes.select("id"), state.relations, gamma, seed), "parts")
-    subs = cut(communities.subcommunities(state.relations, parts.withColumn("community", F.col("community").cast("bigint")), 2, seed), "subs")
-    nodes, edges = graph.hierarchy(state.nodes, parts, subs)
-    chunks = topics.topic_chunks(parts, state.has_entity, state.chunks)
-    ents = state.nodes.join(graph.degrees(state.relations), "id").select("id", F.col("id").alias("name"), "degree")
-    rel = graph.induced(state.relations, parts).select("community", "src", "label", "dst")
-    context = topics.contexts(parts, ents, rel, chunks)
-    return nodes, edges, topics.template_summary(context) if summariser is None else topics.summarise(context, summariser)
+    return topic_layer(state, parts, seed, summariser)[:3]
 
 
 def iterate(pool: DataFrame, rounds: int = 5, batch: int = 100, seed: int = 42) -> list[dict]:

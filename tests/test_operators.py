@@ -232,13 +232,56 @@ def test_budgeted_contexts(spark):
 
 class Fake:
     def extract(self, batch):
-        rows = [(c, 0, "AAA", "X", "REL", "BBB", "Y", 0.5, t[:10]) for c, t in zip(batch["chunk_id"], batch["text"], strict=True)]
+        rows = [x for c, t, h in zip(batch["chunk_id"], batch["text"], batch["hints"], strict=True) for x in ((c, 0, h[0], "X", "REL", h[1], "Y", 0.5, t[:10]), (c, 1, "AAA", "X", "REL", "BBB", "Y", 0.5, t[:10]))]
         return pd.DataFrame(rows, columns=["chunk_id", "pos", "source", "source_type", "relation", "target", "target_type", "confidence", "evidence"])
 
     def close(self):
         pass
 
 
+def test_guided_model_keeps_what_is_grounded(spark):
+    def call(text, hints, labels):
+        if "broken" in text:
+            raise ValueError("no")
+        if "odd" in text:
+            return "not a tuple"
+        both = [("EMMANUEL_MACRON", "MET", "GERMANY", {"confidence": 0.8, "evidence": text}), ("EMMANUEL_MACRON", "LIKES", "CHEESE", {}), ("EMMANUEL_MACRON", "", "GERMANY", {})]
+        nodes = [{"id": "GERMANY", "type": "|".join(sorted(labels))}, {"id": "EMMANUEL_MACRON", "type": "|".join(hints)}]
+        return (both, nodes, {"x": 1}) if "three" in text else (both[:1], nodes)
+
+    chunks = spark.createDataFrame([("a", "three Emmanuel Macron met Germany", ["GERMANY"]), ("b", "two Emmanuel Macron met Germany", None), ("c", "broken", None), ("d", "odd", None), ("e", None, None)], "chunk_id string, text string, entities array<string>")
+    mentions = spark.createDataFrame([(x, k, t, "L", o, 0.9) for x in "ab" for k, (t, o) in enumerate([("Emmanuel Macron", "PERSON"), ("Germany", "LOCATION"), ("we", "PERSON")])], "chunk_id string, pos int, text string, label string, ontology_label string, confidence double")
+    extract.register("mine", lambda: extract.Adapted(call))
+    got = {(r.chunk_id, r.pos): r for r in extract.guided_triplets(chunks, mentions, extract.extractor("mine"), ["EVENT"]).collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("a", 2), ("b", 0)} and got["a", 0].kept and got["b", 0].kept and got["a", 0].confidence == 0.8
+    assert got["a", 1].drop_reason == "endpoint_not_grounded_in_hints" and got["a", 2].drop_reason == "missing_triplet_field"
+    assert got["a", 0].target_type == "LOCATION|PERSON" and got["a", 0].source_type == "GERMANY|EMMANUEL_MACRON"
+    assert extract.extractor(None) is None and extract.extractor("default") is None
+    with pytest.raises(ValueError, match="no extractor"):
+        extract.extractor("unknown")
+
+
+def test_run_from_documents_to_artifacts(spark, tmp_path):
+    import json
+
+    from kgspark import run as R
+    from kgspark.config import Community, Settings
+
+    people = ["Emmanuel Macron", "Olaf Scholz", "Ursula von der Leyen", "Mario Draghi", "Roberta Metsola"]
+    docs = spark.createDataFrame([(i, f"{people[i % 5]} met {people[(i * i + 1) % 5]} in {('Brussels', 'Germany', 'France')[i % 3]}.\n{people[(i + 2) % 5]} spoke to the European Parliament.") for i in range(12)], "doc_id long, text string")
+    settings = Settings(community=Community(resolutions=[1.0], n_iterations=1, node2vec_dim=8, walk_length=4, num_walks=2))
+    out = R.run(docs, settings, f"{tmp_path}/out", node2vec=True)
+    assert out.errors == [] and set(out.stats) == {"extraction", "resolution", "communities", "assembly", "separation", "pruning", "saving"}
+    assert out.stats["extraction"]["documents"] == 12 and out.stats["communities"]["weighted"] > 0 and "modularity_baseline" in out.stats["communities"]
+    kinds = {r.node_type for r in out.nodes.select("node_type").distinct().collect()}
+    assert {"DOC", "SEGMENT", "CHUNK", "ENTITY_CONCEPT", "TOPIC"} <= kinds and out.nodes.where("embedding is null").count() == 0
+    assert out.nodes.where("node_type = 'TOPIC' and summary is null").count() == 0
+    saved = json.loads(spark.read.text(f"{tmp_path}/out/run.json").first().value)
+    assert saved["stats"]["saving"] == {"nodes": out.nodes.count(), "edges": out.edges.count()} and spark.read.text(f"{tmp_path}/out/graph.graphml").where("value like '<node %'").count() == out.nodes.count()
+    broken = R.run(docs, settings, extractor="unknown")
+    assert broken.errors[0][0] == "extraction" and broken.nodes is None
+
+
 def test_pipeline_end_to_end(spark):
     docs = spark.createDataFrame([(1, "Ursula von der Leyen met Emmanuel Macron in Brussels.\nEmmanuel Macron went to Germany."), (2, "Olaf Scholz and Emmanuel Macron spoke in France.")], "doc_id int, text string")
     state = pipeline.build_graph(docs)
@@ -253,4 +296,4 @@ def test_pipeline_end_to_end(spark):
     kept, _ = pipeline.prune(state.nodes, state.relations)
     assert kept.count() == 6
     other = pipeline.build_graph(docs, extractor=Fake)
-    assert {"AAA", "BBB"} <= {r.id for r in other.nodes.collect()}
+    assert {r.label for r in other.relations.collect()} == {"REL"} and not {"AAA", "BBB"} & {r.id for r in other.nodes.collect()}
