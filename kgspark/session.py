@@ -20,7 +20,8 @@ def bound_batches(spark: SparkSession) -> None:
 def spread(df: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
     """Deal a small table out to all cores: a file of one row group is one task, however much work each of its rows is. Larger tables have splits enough and stay as they are."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < small and df.rdd.getNumPartitions() < cores else df
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None, name: str = "kgspark") -> SparkSession:
