@@ -22,13 +22,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm._common import cut, discard, sliced
 from kgspark.llm.automaton import SuffixAutomaton
 
-SIZE, K, SHARD_WORDS, HOT_PASSAGES, BROADCAST_KEYS = 13, 5, 40_000, 200, 4_000_000
+SIZE, K, SHARD_WORDS, HOT_PASSAGES, BROADCAST_KEYS, ROWS_OUT = 13, 5, 40_000, 200, 4_000_000, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,16 +53,20 @@ def minimizers(words: list[bytes], size: int, k: int) -> tuple[np.ndarray, np.nd
     return wide[np.arange(len(first)), first], np.arange(len(first)) + first
 
 
-def _passages(text: str | None, size: int, k: int, known) -> list[tuple[int, int, bytes, int]]:
-    """(minimizer, first window, passage, windows) of the passages whose minimizer is ``known``."""
+def _passages(text: str | None, size: int, k: int, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(minimizers, first windows, numbers of windows, passages) of the passages whose minimizer is ``known``."""
     words = words_of(text)
     g, p = minimizers(words, size, k)
     if not len(g):
-        return []
+        return g, p, p, []
     heads = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
     stops = np.append(heads[1:], len(p))
     keep = known(g[heads])
-    return [(int(x), a, b" ".join(words[a : b + size - 1]), b - a) for x, a, b in zip(g[heads[keep]].view(np.int64).tolist(), heads[keep].tolist(), stops[keep].tolist(), strict=True)]
+    heads, stops = heads[keep], stops[keep]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return g[heads].view(np.int64), heads, stops - heads, [joined[x:y] for x, y in zip(starts[heads].tolist(), ends[stops + size - 2].tolist(), strict=True)]
 
 
 def _known(keys: np.ndarray):
@@ -79,13 +84,20 @@ def _repeated(rows: DataFrame, size: int, k: int) -> DataFrame:
     """(doc, g): the distinct minimizers of each document."""
 
     def run(batches):
-        for batch in batches:
+        docs, found, n = [], [], 0
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g = np.unique(minimizers(words_of(text), size, k)[0]).view(np.int64)
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc, np.int64)), pa.array(g)], names=["doc", "g"])
+                g = np.unique(minimizers(words_of(text), size, k)[0])
+                docs.append(np.full(len(g), doc, np.int64))
+                found.append(g.view(np.int64))
+                n += len(g)
+            if n >= ROWS_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], names=["doc", "g"])
+                docs, found, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], names=["doc", "g"])
 
-    return rows.select("doc", "text").mapInArrow(_merged(run), "doc bigint, g bigint")
+    return rows.select("doc", "text").mapInArrow(run, "doc bigint, g bigint")
 
 
 def _merged(run, rows: int = 20_000):
@@ -113,10 +125,30 @@ def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> tupl
     """The passages of repeated minimizers, and the table of these that they are made from."""
     each = _repeated(rows, size, k)
     several = cut(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "minimizers")
-    emit = lambda doc, th, text, known: [(doc, th, g, a, w, p) for g, a, p, w in _passages(text, size, k, known)]
 
-    def made(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), PASSAGE, strict=True)], schema=PASSAGE)
+    def emitted(batches, known_of):
+        """Passages of many documents at a time, as columns."""
+        held: list[list] = [[] for _ in range(5)]
+        passages: list[bytes] = []
+
+        def made():
+            numbers = [np.concatenate(c) for c in held]
+            out = pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32) if f.type == pa.int32() else c) for c, f in zip(numbers, PASSAGE, strict=False)], pa.array(passages, pa.binary())], schema=PASSAGE)
+            for c in (*held, passages):
+                c.clear()
+            return out
+
+        for batch in sliced(batches):
+            for doc, text, th, known in zip(*(batch.column(i).to_pylist() for i in range(3)), known_of(batch), strict=True):
+                g, first, windows, found = _passages(text, size, k, known)
+                if found:
+                    for c, x in zip(held, (np.full(len(g), doc, np.int64), np.full(len(g), th, np.int64), g, first, windows), strict=True):
+                        c.append(x)
+                    passages.extend(found)
+            if len(passages) >= ROWS_OUT:
+                yield made()
+        if passages:
+            yield made()
 
     if several.count() <= broadcast_keys:
         keys = np.sort(several.toArrow().column(0).to_numpy().view(np.uint64))
@@ -124,21 +156,15 @@ def _candidates(rows: DataFrame, size: int, k: int, broadcast_keys: int) -> tupl
 
         def run(batches):
             known = _known(shared.value)
-            for batch in batches:
-                for doc, text, th in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if found := emit(doc, th, text, known):
-                        yield made(found)
+            yield from emitted(batches, lambda batch: [known] * batch.num_rows)
 
-        return rows.select("doc", "text", "th").mapInArrow(_merged(run), PASSAGE_DDL), several
+        return rows.select("doc", "text", "th").mapInArrow(run, PASSAGE_DDL), several
 
     def run_joined(batches):
-        for batch in batches:
-            for doc, text, th, mine in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if found := emit(doc, th, text, _known(np.sort(np.array(mine, np.int64).view(np.uint64)))):
-                    yield made(found)
+        yield from emitted(batches, lambda batch: [_known(np.sort(np.array(mine, np.int64).view(np.uint64))) for mine in batch.column(3).to_pylist()])
 
     mine = each.join(several, "g").groupBy("doc").agg(F.collect_set("g").alias("mine")).withColumnRenamed("doc", "d")  # bounded by one document
-    return rows.join(mine, rows.doc == mine.d).select("doc", "text", "th", "mine").mapInArrow(_merged(run_joined), PASSAGE_DDL), several
+    return rows.join(mine, rows.doc == mine.d).select("doc", "text", "th", "mine").mapInArrow(run_joined, PASSAGE_DDL), several
 
 
 def _matched(passages: DataFrame, size: int, shard_words: int) -> DataFrame:
@@ -234,21 +260,23 @@ def _applied(joined: DataFrame, size: int, with_text: bool) -> DataFrame:
     fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     schema = pa.schema([("doc", pa.int64()), *fields.items()])
 
+    bits = np.arange(size, dtype=np.int64)
+
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for doc, spans, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            spans = batch.column(1)
+            inside = spans.flatten()
+            first, mask = (inside.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)) if len(inside) else (np.empty(0, np.int64),) * 2
+            stops = np.cumsum([n or 0 for n in pc.list_value_length(spans).to_pylist()])
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 words = words_of(text)
                 kept = words
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    for s in spans:
-                        for j in range(s["mask"].bit_length()):
-                            if s["mask"] >> j & 1:
-                                edge[s["first"] + j] += 1
-                                edge[s["first"] + j + size] -= 1
-                    stay = np.cumsum(edge[:-1]) == 0
-                    kept = [words[i] for i in np.flatnonzero(stay).tolist()]
+                lo, hi = (stops[row - 1] if row else 0), stops[row]
+                if hi > lo:
+                    at = (first[lo:hi, None] + bits)[(mask[lo:hi, None] >> bits) & 1 == 1]  # windows that go
+                    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 whole = b" ".join(kept)
                 out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), *([whole.decode("utf-8", "surrogatepass")] if with_text else [])))
             if out:
