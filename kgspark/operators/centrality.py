@@ -67,10 +67,13 @@ def power_scores(nodes: DataFrame, edges: DataFrame, alpha: float | None = None,
 
 
 def _brandes(n: int, starts: np.ndarray, targets: np.ndarray, costs: np.ndarray, sources: list[int], weighted: bool):
-    """Partial betweenness over ``sources`` and, for each, (reached, total distance, total inverse distance) along out-edges."""
+    """Partial betweenness and load over ``sources`` and, for each, (reached, total distance, total inverse distance) along out-edges.
+
+    Load is the traffic of one packet from each node reached, which divides equally among the predecessors at every step; betweenness weighs them by their path counts.
+    """
     import heapq
 
-    between, paths = np.zeros(n), []
+    between, loads, paths = np.zeros(n), np.zeros(n), []
     for s in sources:
         order, before, count, dist = [], [[] for _ in range(n)], np.zeros(n), np.full(n, np.inf)
         count[s], dist[s], done = 1.0, 0.0, np.zeros(n, bool)
@@ -90,19 +93,21 @@ def _brandes(n: int, starts: np.ndarray, targets: np.ndarray, costs: np.ndarray,
                 elif abs(far - dist[u]) <= 1e-12 and not done[u] and v not in before[u]:
                     count[u] += count[v]
                     before[u].append(v)
-        delta = np.zeros(n)
+        delta, load = np.zeros(n), np.zeros(n)
         for v in reversed(order):
             for p in before[v]:
                 delta[p] += count[p] / count[v] * (1 + delta[v])
+                load[p] += (1 + load[v]) / len(before[v])
             if v != s:
                 between[v] += delta[v]
+                loads[v] += load[v]
         reach = dist[np.isfinite(dist) & (dist > 0)]
         paths.append((s, len(reach), float(reach.sum()), float((1 / reach).sum())))
-    return between, paths
+    return between, loads, paths
 
 
 def path_centralities(nodes: DataFrame, edges: DataFrame, weighted: bool = False, directed: bool = True, blocks: int = 64, max_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
-    """(id, betweenness, closeness, harmonic). Every task holds the adjacency, so its size is checked; sources are dealt in blocks.
+    """(id, betweenness, load, closeness, harmonic). Every task holds the adjacency, so its size is checked; sources are dealt in blocks.
 
     Distances are along in-edges for closeness and harmonic. Beyond ``max_edges`` this raises: path counts need the whole graph in reach of a task.
     """
@@ -123,23 +128,23 @@ def path_centralities(nodes: DataFrame, edges: DataFrame, weighted: bool = False
     shared = spark.sparkContext.broadcast((n, starts, np.array([t[1] for t in triples], np.int64), np.array([t[2] for t in triples])))
 
     def work(batches):
-        total, rows = None, []
+        total, load, rows = None, None, []
         for b in batches:
             n_, s_, t_, c_ = shared.value
-            part, paths = _brandes(n_, s_, t_, c_, b["i"].tolist(), weighted)
-            total = part if total is None else total + part
+            part, loads, paths = _brandes(n_, s_, t_, c_, b["i"].tolist(), weighted)
+            total, load = (part, loads) if total is None else (total + part, load + loads)
             rows += paths
         if total is not None:
-            hit = np.flatnonzero(total)
-            yield pd.DataFrame({"i": hit, "b": total[hit], "reach": 0, "far": 0.0, "near": 0.0})
-            yield pd.DataFrame({"i": [r[0] for r in rows], "b": 0.0, "reach": [r[1] for r in rows], "far": [r[2] for r in rows], "near": [r[3] for r in rows]})
+            hit = np.flatnonzero((total != 0) | (load != 0))
+            yield pd.DataFrame({"i": hit, "b": total[hit], "l": load[hit], "reach": 0, "far": 0.0, "near": 0.0})
+            yield pd.DataFrame({"i": [r[0] for r in rows], "b": 0.0, "l": 0.0, "reach": [r[1] for r in rows], "far": [r[2] for r in rows], "near": [r[3] for r in rows]})
 
-    parts = spark.range(n).withColumnRenamed("id", "i").repartition(blocks).mapInPandas(work, "i long, b double, reach long, far double, near double")
-    sums = parts.groupBy("i").agg(F.sum("b").alias("b"), F.sum("reach").alias("reach"), F.sum("far").alias("far"), F.sum("near").alias("near"))
+    parts = spark.range(n).withColumnRenamed("id", "i").repartition(blocks).mapInPandas(work, "i long, b double, l double, reach long, far double, near double")
+    sums = parts.groupBy("i").agg(F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum("reach").alias("reach"), F.sum("far").alias("far"), F.sum("near").alias("near"))
     pairs = (n - 1) * (n - 2) if n > 2 else 1
     close = F.when((F.col("far") > 0) & F.lit(n > 1), F.col("reach") / F.col("far") * (F.col("reach") / max(n - 1, 1))).otherwise(0.0)
     names = spark.createDataFrame(pd.DataFrame({"i": range(n), "id": ids}), f"i long, id {dict(nodes.dtypes)['id']}")
-    return names.join(sums, "i", "left").select("id", (F.coalesce("b", F.lit(0.0)) / pairs).alias("betweenness"), F.coalesce(close, F.lit(0.0)).alias("closeness"), F.coalesce("near", F.lit(0.0)).alias("harmonic"))
+    return names.join(sums, "i", "left").select("id", (F.coalesce("b", F.lit(0.0)) / pairs).alias("betweenness"), (F.coalesce("l", F.lit(0.0)) / pairs).alias("load"), F.coalesce(close, F.lit(0.0)).alias("closeness"), F.coalesce("near", F.lit(0.0)).alias("harmonic"))
 
 
 def current_flow(nodes: DataFrame, edges: DataFrame, max_nodes: int = 2000) -> DataFrame:

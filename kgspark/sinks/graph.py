@@ -61,6 +61,22 @@ def write_store(nodes: DataFrame, edges: DataFrame, folder: str, clean: bool = F
     return done
 
 
+def index_statements(nodes: DataFrame, key: str = "id", vector: str = "embedding") -> list[str]:
+    """What a property-graph database is asked for before an upload: a unique key for each kind of node, and a cosine vector index where it has vectors (their length is read, and has to be one)."""
+    quoted = lambda x: "`" + x.replace("`", "``") + "`"
+    has = vector in nodes.columns
+    size = F.size(vector) if has else F.lit(None).cast("int")
+    kinds = nodes.groupBy("node_type").agg(F.min(size).alias("least"), F.max(size).alias("most")).orderBy("node_type").collect()  # a row a kind
+    out = []
+    for r in kinds:
+        out.append(f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{quoted(r.node_type)}) REQUIRE n.{key} IS UNIQUE")
+        if r.most and r.most > 0:
+            if r.least != r.most:
+                raise ValueError(f"{r.node_type} has vectors of {r.least} to {r.most} numbers")
+            out.append(f"CREATE VECTOR INDEX {quoted(f'{r.node_type}_{vector}')} IF NOT EXISTS FOR (n:{quoted(r.node_type)}) ON (n.{vector}) OPTIONS {{indexConfig: {{`vector.dimensions`: {r.most}, `vector.similarity_function`: 'cosine'}}}}")
+    return out
+
+
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that break uniqueness."""
     return df.groupBy(*key).count().where("count > 1")
@@ -182,6 +198,18 @@ def diagnostics(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").partitionBy("stage").json(folder)
 
 
+def diagnostic_index(spark, folders: dict[str, str], folder: str) -> DataFrame:
+    """(name, path, rows) of the diagnostic tables that are there, written beside them as JSON."""
+    rows = []
+    for name, path in sorted(folders.items()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            rows.append((name, path, spark.read.text(path).count()))
+    out = spark.createDataFrame(rows, "name string, path string, rows long")
+    out.coalesce(1).write.mode("overwrite").json(folder)
+    return out
+
+
 def executive_summary(stats: dict) -> str:
     lines = ["# Knowledge graph summary", ""]
     for section, rows in stats.items():

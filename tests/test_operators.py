@@ -239,6 +239,15 @@ class Fake:
         pass
 
 
+def test_load_centrality(spark):
+    """A diamond with a tail: two paths of equal length share a packet equally, also where they differ in the number of ways behind them."""
+    e = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0), ("a", "x", 1.0), ("x", "b", 1.0), ("d", "e", 1.0)], "src string, dst string, weight double")
+    n = spark.createDataFrame([(x,) for x in "abcdex"], "id string")
+    got = {r.id: (round(r.betweenness * 20, 6), round(r.load * 20, 6)) for r in centrality.path_centralities(n, e, directed=True).collect()}
+    assert got["d"] == (4.0, 4.0) and got["b"] == got["b"] and got["a"] == (0.0, 0.0)
+    assert sum(x[0] for x in got.values()) == sum(x[1] for x in got.values())  # both count every step between
+
+
 def test_guided_model_keeps_what_is_grounded(spark):
     def call(text, hints, labels):
         if "broken" in text:

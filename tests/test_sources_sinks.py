@@ -3,6 +3,8 @@
 import datetime
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kgspark import config
@@ -160,3 +162,50 @@ def test_settings(tmp_path):
     assert s.extraction.chunk_size == 512 and s.extraction.labels == ["Person", "Political Party"] and s.community.resolutions == [0.5, 1.0] and s.community.seed == 7 and s.chunk_budget == 3
     assert config.read_env("export A='b'\n# c\nD=e=f") == {"A": "b", "D": "e=f"}
     assert config.model_id(config.Llm("m", "", "p")) == "p/m" and config.model_id(config.Llm("p/m", "", "p")) == "p/m"
+
+
+def test_parsers_by_file_type(spark, tmp_path):
+    from kgspark.sources import parsers
+
+    (tmp_path / "2024-03-01_a.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "log.csv").write_text("Time,Location,Audio,Image\n2024-01-02 10:00:00,Home,hello,x\n2024-01-02 10:01:00,Home,again,y\n")
+    (tmp_path / "b.md").write_text("# A\ntext a\n# B\ntext b\n")
+    (tmp_path / "other.bin").write_text("left out")
+    mine = parsers.regex_parser("headings", "*.md", r"^# (?P<title>[^\n]+)\n(?P<text>[^\n]+)$", {"title": "title"})
+    rows = parsers.read_segments(spark, str(tmp_path), [mine, *parsers.PARSERS]).collect()
+    got = {(r.parser, r.filename): [] for r in rows}
+    for r in sorted(rows, key=lambda r: r.segment_idx):
+        got[r.parser, r.filename].append(r.content)
+    assert got["lines", "2024-03-01_a.txt"] == ["one", "two"] and len(got["lifelog", "log.csv"]) == 1 and got["headings", "b.md"] == ["text a", "text b"] and len(got) == 3
+    dates = {r.filename: str(r.date) for r in rows}
+    assert dates["2024-03-01_a.txt"] == "2024-03-01" and dates["log.csv"] == "2024-01-02" and dates["b.md"] == "None"
+    again = parsers.read_segments(spark, str(tmp_path), [parsers.Parser("first", "*.txt", parsers.parse_lines), *parsers.PARSERS])
+    assert {r.parser for r in again.where("filename like '%.txt'").collect()} == {"first"}
+
+
+def test_figure_tables_indexes_and_diagnostics(spark, tmp_path):
+    from kgspark.sinks import figures as G
+
+    it = spark.createDataFrame([(0, 0.1, 0.5, 0.5, 4, 6, 2), (1, 0.3, 0.6, 0.4, 8, 20, 3)], "iteration int, modularity double, topic_separation double, topic_overlap double, entities long, relations long, communities long")
+    assert {(r.iteration, r.metric): r.change for r in G.evolution(it, ("modularity",)).collect()} == {(0, "modularity"): None, (1, "modularity"): pytest.approx(0.2)}
+    assert [round(r.density, 6) for r in G.growth(it).orderBy("iteration").collect()] == [0.5, round(20 / 56, 6)] and G.modularity_and_separation(it).count() == 2
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "label string, centroid array<double>")
+    cells = {(r.i, r.j): round(r.sim, 6) for r in G.heatmap(c).collect()}
+    assert len(cells) == 9 and cells["a", "b"] == 0 and cells["c", "a"] == cells["a", "c"] == round(0.5**0.5, 6) and cells["b", "b"] == 1
+    s = spark.createDataFrame([("t", "x", -1.0), ("t", "x", 0.0), ("t", "y", 1.0), ("t", "y", None)], "level string, label string, s double")
+    assert {r.bin: (r.n, r.low) for r in G.silhouette_histogram(s, 4).collect()} == {0: (1, -1.0), 2: (1, 0.0), 3: (1, 0.5)}
+    assert [(r.label, r.n, r["mean"]) for r in G.silhouettes_by_group(s).collect()] == [("y", 2, 1.0), ("x", 2, -0.5)]
+    assert [r.cumulative for r in G.scree(spark, {"t": [0.5, 0.25]}).collect()] == [0.5, 0.75]
+    rep = {1: {"levels": {"TOPIC": {"n": 9, "labels": 3, "silhouette": 0.2, "anova": {"f": 1.0, "p": 0.4, "eta2": 0.1}, "pairwise": [{"significant": True}, {"significant": False}]}, "SUBTOPIC": None}}}
+    assert [(r.level, r.significant_pairs, r.pairs) for r in G.statistical_summary(spark, rep).collect()] == [("TOPIC", 1, 2)]
+    assert [r.delta for r in G.weighting_impact(0.25, 0.5, spark).collect()] == [0.0, 0.25]
+    e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
+    assert {(r.graph, r.k): round(r.p, 6) for r in G.degree_distributions({"g": e}).collect()} == {("g", 1): 1.0, ("g", 2): round(1 / 3, 6)}
+    bars = G.centrality_bars(spark.createDataFrame([("m", "a", 1.0), ("m", "b", 2.0)], "measure string, id string, score double"), 1)
+    assert [(r.id, r.rank) for r in bars.collect()] == [("b", 1)]
+    assert {r.figure: r.rows for r in G.write_figures({"bars": bars, "growth": G.growth(it)}, f"{tmp_path}/figures").collect()} == {"bars": 1, "growth": 2}
+    n = spark.createDataFrame([("1", "A", [1.0, 2.0]), ("2", "B`", None)], "id string, node_type string, embedding array<double>")
+    told = K.index_statements(n)
+    assert len(told) == 3 and "`vector.dimensions`: 2" in told[1] and "(n:`B```)" in told[2]
+    spark.createDataFrame([("x",)], "stage string").write.json(f"{tmp_path}/diag")
+    assert [(r.name, r.rows) for r in K.diagnostic_index(spark, {"chunks": f"{tmp_path}/diag", "gone": f"{tmp_path}/none"}, f"{tmp_path}/index").collect()] == [("chunks", 1)]
