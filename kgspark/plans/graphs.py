@@ -196,9 +196,9 @@ def subcommunities(spark: SparkSession, d: str) -> DataFrame:
     return communities.subcommunities(trade_edges(spark, d), parts)
 
 
-@query()
+@query(f"WITH {SQL_TRADE}, sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes), {', '.join(_ROUND.format(k=k, p=k - 1).replace(' AS (', ' AS MATERIALIZED (', 1) for k in range(1, 16))} SELECT id, round(score, 9) AS score FROM r15")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return centrality.pagerank(trade_nodes(spark, d), trade_edges(spark, d), rounds=15).select("id", F.round("score", 9).alias("score"))
+    return centrality.pagerank(trade_nodes(spark, d), trade_edges(spark, d), rounds=15, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
 
 
 @query()
