@@ -9,7 +9,7 @@ In a shard, documents stand in a seeded hash order and form an endless stream; i
 onwards, which takes whole epochs and a last part. ``taken`` is how many of a document's words that covers, repeats counted.
 
 Edge cases: null and empty texts have size 0 and are never taken; repeated rows stand next to each other in the order and may get different shares, so
-the multiset of results is the same in every run; a source without words has target 0; an empty table gives an empty result.
+the multiset of results is the same in every run; rows without an id are dealt by their texts, so many of them are many shards; a source without words has target 0; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def mix(
 ) -> DataFrame:
     """Per row: ``doc_id, source, size, source_size, target, taken`` and ``th`` (a hash of the text, to tell rows of one id apart)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("th"))
-    rows = cut(rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))), "sized")
+    rows = cut(rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("th").cast("string")))))), "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeats, share)
     targets = targets.withColumn("seats", F.floor(F.sum("target").over(W.partitionBy()) / block).cast("bigint")).withColumn("all", F.lit(1))
