@@ -123,8 +123,8 @@ def composite_name_score(a: Column, b: Column, ratio: Column) -> Column:
     return F.greatest(levenshtein_similarity(a, b), ratio, L.acronym_score(a, b), inside)
 
 
-def title_pairs(titles: DataFrame, title: str = "title", most: float = 0.7) -> DataFrame:
-    """(a, b, similarity, duplicate) of titles whose edit similarity exceeds ``most``; titles are one row a topic.
+def title_pairs(titles: DataFrame, title: str = "title", most: float = 0.7, vector: str | None = None) -> DataFrame:
+    """(a, b, similarity, duplicate) of titles that are more alike than ``most``: by the cosine of their vectors where there are such and it says so, else by edit distance. Titles are one row a topic.
 
     A pair over the bound shares a length band, so the join is by neighbouring bands of log length instead of all pairs.
     """
@@ -137,4 +137,9 @@ def title_pairs(titles: DataFrame, title: str = "title", most: float = 0.7) -> D
     b = rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.explode(F.array(band, band + 1)).alias("band"))
     s = F.round(levenshtein_similarity(F.col("ta"), F.col("tb")), 6)
     found = a.join(b, "band").where("a < b").select("a", "b", s.alias("similarity")).where(F.col("similarity") > most).distinct()
+    if vector is not None:
+        from kgspark.operators.vectors import similarity_matrix
+
+        near = similarity_matrix(titles.where(F.col(vector).isNotNull()), "id", vector).select(F.col("i").alias("a"), F.col("j").alias("b"), F.round("sim", 6).alias("similarity")).where(F.col("similarity") > most)
+        found = near.unionByName(found.join(near.select("a", "b"), ["a", "b"], "left_anti"))
     return found.withColumn("duplicate", F.col("similarity") > 0.9)

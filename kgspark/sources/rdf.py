@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.labels import DEFAULT_LABELS, local_name, standardize_label, title_case
@@ -177,3 +177,53 @@ def ontology_edges(described: DataFrame, mapping: DataFrame) -> DataFrame:
     for column, label in (("parents", "rdfs:subClassOf"), ("equivalents", "owl:equivalentClass"), ("disjoint", "owl:disjointWith"), ("domains", "rdfs:domain"), ("ranges", "rdfs:range")):
         out = out.unionByName(rel(column, label))
     return out
+
+
+# What file names say of an ontology, first match wins; (type, pattern over the lower-cased name).
+FILE_TYPES = (
+    ("cdm_extension", "cdm.*plus|plus.*cdm"),
+    ("cdm_component", "cdm.*(annotation|datatype|cataloguing|indexation|marc21)|(annotation|datatype|cataloguing|indexation|marc21).*cdm"),
+    ("cdm_core", "^cdm(\\.rdf)?$"),
+    ("external_standard", "^(skos|dcat|foaf|org|vcard)"),
+    ("w3c_standard", "^(owl|rdfs)\\.rdf$"),
+    ("eu_vocabulary", "euvoc"),
+    ("configuration", "import|policy"),
+)
+# Colours of nodes, first match wins; (pattern over the URI, colour).
+CDM = "http://publications.europa.eu/ontology/cdm#"
+NODE_COLOURS = (
+    (f"^{CDM}work$", "#FF6B6B"), (f"^{CDM}expression$", "#4ECDC4"), (f"^{CDM}manifestation$", "#45B7D1"), (f"^{CDM}item$", "#96CEB4"), (f"(?i)^{CDM}.*agent", "#FFEAA7"), (f"(?i)^{CDM}.*dossier", "#DDA0DD"),
+    (f"(?i)^{CDM}.*event", "#F39C12"), (f"^{CDM}", "#74B9FF"), ("(?i)skos", "#E17055"), ("(?i)dcat", "#A29BFE"), ("(?i)foaf", "#FD79A8"), ("(?i)org", "#FDCB6E"), ("(?i)vcard", "#6C5CE7"),
+)
+OTHER_COLOUR, NODE_SIZE, CORE_SIZE, SIZE_STEP, SIZE_BOOST = "#B2DFDB", 20, 50, 3, 30
+
+
+def _first_match(x: Column, rules: tuple[tuple[str, str], ...], otherwise: Column) -> Column:
+    """The value of the first (value, pattern) that matches."""
+    return F.coalesce(*[F.when(x.rlike(pattern), F.lit(value)) for value, pattern in rules], otherwise)
+
+
+def ontology_types(rdf: DataFrame) -> DataFrame:
+    """(file, ontology_type) by the file's name, else by how many classes and object properties it declares."""
+    typed = lambda t: F.count_distinct(F.when((F.col("p") == RDF + "type") & (F.col("o") == OWL + t), F.col("s")))
+    each = rdf.where("s is not null").groupBy("file").agg(typed("Class").alias("c"), typed("ObjectProperty").alias("q"))
+    by_size = F.when(F.col("c") > 100, "core_ontology").when(F.col("q") > 2 * F.col("c"), "property_ontology").when(F.col("c") > 10, "domain_ontology").otherwise("utility_ontology")
+    return each.select("file", _first_match(F.lower("file"), FILE_TYPES, by_size).alias("ontology_type"))
+
+
+def class_types(rdf: DataFrame) -> DataFrame:
+    """(s, ontology_type): each class has the type of the file that declares it; an OWL declaration comes before an RDFS one, then the first file by name."""
+    kinds = ontology_types(rdf).withColumnRenamed("file", "_f")
+    told = rdf.where((F.col("p") == RDF + "type") & F.col("o").isin(OWL + "Class", RDFS + "Class") & ~F.col("s").startswith("_:"))
+    rank = F.struct((F.col("o") != OWL + "Class").alias("rdfs"), F.col("file"))
+    return told.join(kinds, told.file == kinds._f).groupBy("s").agg(F.min_by("ontology_type", rank).alias("ontology_type"))
+
+
+def node_styles(rdf: DataFrame) -> DataFrame:
+    """(s, colour, size) of the classes: colour by namespace and name, size by the number of subclasses."""
+    kids = rdf.where((F.col("p") == RDFS + "subClassOf") & F.col("o_is_uri")).groupBy(F.col("o").alias("_o")).agg(F.count_distinct("s").alias("k"))
+    colour = _first_match(F.col("s"), tuple((c, p) for p, c in NODE_COLOURS), F.lit(OTHER_COLOUR))
+    core = F.col("s").isin(*[CDM + x for x in ("work", "expression", "manifestation", "item")])
+    size = F.when(core, CORE_SIZE).otherwise(NODE_SIZE) + F.least(F.coalesce("k", F.lit(0)) * SIZE_STEP, F.lit(SIZE_BOOST))
+    found = classes(rdf)
+    return found.join(kids, found.s == kids._o, "left").select("s", colour.alias("colour"), size.cast("int").alias("size"))

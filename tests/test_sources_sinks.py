@@ -209,3 +209,25 @@ def test_figure_tables_indexes_and_diagnostics(spark, tmp_path):
     assert len(told) == 3 and "`vector.dimensions`: 2" in told[1] and "(n:`B```)" in told[2]
     spark.createDataFrame([("x",)], "stage string").write.json(f"{tmp_path}/diag")
     assert [(r.name, r.rows) for r in K.diagnostic_index(spark, {"chunks": f"{tmp_path}/diag", "gone": f"{tmp_path}/none"}, f"{tmp_path}/index").collect()] == [("chunks", 1)]
+
+
+def test_ontology_types_and_styles(spark):
+    named = {"cdm-plus.rdf": "cdm_extension", "cdm-annotation.rdf": "cdm_component", "cdm.rdf": "cdm_core", "skos-core.rdf": "external_standard", "owl.rdf": "w3c_standard", "my-euvoc.rdf": "eu_vocabulary", "import.rdf": "configuration", "some.rdf": "utility_ontology", "props.rdf": "property_ontology", "dom.rdf": "domain_ontology"}
+    row = lambda s, p, o, f: (s, p, o, True, None, f)
+    rows = [row(f"http://x/{f}#A", rdf.RDF + "type", rdf.OWL + "Class", f) for f in named if f != "props.rdf"] + [row("http://x/p#q", rdf.RDF + "type", rdf.OWL + "ObjectProperty", "props.rdf")]
+    rows += [row(f"http://x/dom#C{i}", rdf.RDF + "type", rdf.OWL + "Class", "dom.rdf") for i in range(12)] + [row("http://x/dom#C1", rdf.RDF + "type", rdf.RDFS + "Class", "cdm.rdf")]
+    rows += [row(rdf.CDM + x, rdf.RDF + "type", rdf.OWL + "Class", "cdm.rdf") for x in ("work", "agent_x", "thing")] + [row(f"http://x/dom#C{i}", rdf.RDFS + "subClassOf", rdf.CDM + "work", "dom.rdf") for i in range(12)]
+    t = spark.createDataFrame(rows, "s string, p string, o string, o_is_uri boolean, lang string, file string")
+    assert {r.file: r.ontology_type for r in rdf.ontology_types(t).collect()} == named
+    kinds = {r.s: r.ontology_type for r in rdf.class_types(t).collect()}
+    assert kinds["http://x/dom#C1"] == "domain_ontology" and kinds[rdf.CDM + "work"] == "cdm_core"
+    styles = {r.s: (r.colour, r.size) for r in rdf.node_styles(t).collect()}
+    assert styles[rdf.CDM + "work"] == ("#FF6B6B", 80) and styles[rdf.CDM + "agent_x"] == ("#FFEAA7", 20) and styles[rdf.CDM + "thing"][0] == "#74B9FF" and styles["http://x/dom#C2"][0] == "#B2DFDB"
+
+
+def test_title_pairs_by_vectors_first(spark):
+    from kgspark.operators.resolve import title_pairs
+
+    t = spark.createDataFrame([(1, "energy policy", [1.0, 0.0]), (2, "power rules", [0.99, 0.05]), (3, "energy policies", [0.0, 1.0]), (4, "other", None)], "id long, title string, v array<double>")
+    got = {(r.a, r.b): (r.similarity > 0.99, r.duplicate) for r in title_pairs(t, vector="v").collect()}
+    assert got == {(1, 2): (True, True), (1, 3): (False, False)}
