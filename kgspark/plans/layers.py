@@ -320,7 +320,7 @@ def topic_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), L.topic_key(node).alias("key"))
 
 
-@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN round(c_acctbal / 10000, 3) END AS s, CASE WHEN c_custkey % 5 > 0 THEN round((c_custkey % 100) / 1000.0::DOUBLE, 4) END AS p FROM customer)
+@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN round(c_acctbal / 10000, 3) + 0.0::DOUBLE END AS s, CASE WHEN c_custkey % 5 > 0 THEN round((c_custkey % 100) / 1000.0::DOUBLE, 4) END AS p FROM customer)
     SELECT c_custkey AS id, CASE WHEN s IS NULL AND p IS NULL THEN 'Insufficient data for interpretation' ELSE concat_ws('; ', CASE WHEN s > 0.5 THEN 'Strong' WHEN s > 0.25 THEN 'Moderate' WHEN s > 0 THEN 'Weak' WHEN s IS NOT NULL THEN 'Poor' END || printf(' cluster separation (silhouette=%.3f)', s),
       CASE WHEN p < 0.001 THEN 'Highly significant difference (p<0.001)' WHEN p < 0.01 THEN 'Significant difference (p<0.01)' WHEN p < 0.05 THEN 'Marginally significant difference (p<0.05)' WHEN p IS NOT NULL THEN printf('No significant difference (p=%.4f)', p) END) END AS said FROM x""")
 def interpretations(spark: SparkSession, d: str) -> DataFrame:
