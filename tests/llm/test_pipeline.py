@@ -122,6 +122,32 @@ def test_near_copies_in_large_buckets(spark):
         assert len(got) == len(texts) and all((got[i] == got[j]) == (top(i) == top(j)) for i in got for j in got), cap
 
 
+def test_copies_linked_only_through_their_origin(spark):
+    """Copies at 0.88 of their origin and at 0.78 of each other, whatever member a bucket's search starts from, beside lone texts at 0.7 of the origin."""
+    import random
+
+    rnd = random.Random(5)
+
+    def changed(words, n):
+        at = set(rnd.sample(range(2, 398), n))
+        return " ".join(f"n{rnd.randrange(10**9)}" if i in at else w for i, w in enumerate(words))
+
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        texts += [" ".join(base), *[changed(base, 5) for _ in range(12)], *[changed(base, 14) for _ in range(4)]]
+    sets = [frozenset(shingle_hashes(t).tolist()) for t in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if near[i][j]) for i in range(len(texts))]
+    assert any(root[i] == root[j] and not near[i][j] for i in range(len(texts)) for j in range(i))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cap in (2, 5, 512):
+        got = {r.doc_id: r.root for r in groups(frame, bucket_cap=cap).collect()}
+        assert [[got[i] == got[j] for j in range(len(texts))] for i in range(len(texts))] == [[a == b for b in root] for a in root], cap
+
+
 def test_run_leaves_only_its_result(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr("kgspark.operators.storage.shared_dir", lambda _: f"file://{tmp_path}")
     mixed = P.run(spark, sf)
