@@ -100,11 +100,17 @@ def _seam(text: str, old, new, old_at: int, new_at: int, old_end: int) -> tuple[
     return None
 
 
-def spliced_counts(texts: list, encode_batch, encode, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[int]:
-    """Tokens of each text (None counts 0). Chunks of all texts are encoded in batches; a text with a seam that fails is widened by ``splice_count``."""
+def spliced_counts(texts: list, encode_batch, encode, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, encode_short=None) -> list[int]:
+    """Tokens of each text (None counts 0). Chunks of all texts are encoded in batches; a text with a seam that fails is widened by ``splice_count``.
+
+    A text of one chunk has no seam, so ``encode_short`` may leave out offsets."""
     overlap = min(overlap_chars, chunk_chars // 2) or 1
     out, failed = [0] * len(texts), set()
-    pieces = ((k, at) for k, t in enumerate(texts) if t for at in range(0, max(1, len(t) - overlap), chunk_chars - overlap))
+    short = (k for k, t in enumerate(texts) if t and len(t) <= chunk_chars)
+    while some := list(islice(short, BATCH_CHUNKS)):
+        for k, e in zip(some, (encode_short or encode_batch)([texts[k] for k in some]), strict=True):
+            out[k] = len(e)
+    pieces = ((k, at) for k, t in enumerate(texts) if t and len(t) > chunk_chars for at in range(0, max(1, len(t) - overlap), chunk_chars - overlap))
     last = None  # (text, encoding, where it starts, index of its first token that counts)
     while some := list(islice(pieces, BATCH_CHUNKS)):
         for (k, at), e in zip(some, encode_batch([texts[k][at : at + chunk_chars] for k, at in some]), strict=True):
@@ -151,9 +157,12 @@ def _load(path: str, chunk_chars: int, overlap_chars: int):
     def encode_batch(parts):
         return tok.encode_batch(parts, add_special_tokens=False)
 
+    def encode_short(parts):
+        return tok.encode_batch_fast(parts, add_special_tokens=False)
+
     if not proven_barrier(spec):
         return lambda texts: [[len(tok.encode(t or "", add_special_tokens=False)) for t in texts]]
-    return lambda texts: [spliced_counts(texts, encode_batch, encode, chunk_chars, overlap_chars)]
+    return lambda texts: [spliced_counts(texts, encode_batch, encode, chunk_chars, overlap_chars, encode_short)]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, keep_text: bool = False) -> DataFrame:

@@ -87,6 +87,26 @@ def test_splice(docs):
         assert got == [len(tok.encode(t or "", add_special_tokens=False)) for t in some]
 
 
+def test_texts_of_one_chunk_are_encoded_without_offsets(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    asked = {True: [], False: []}
+
+    def batch(fast):
+        def call(parts):
+            asked[fast] += parts
+            return (tok.encode_batch_fast if fast else tok.encode_batch)(parts, add_special_tokens=False)
+
+        return call
+
+    some = [None, "", "a<|endoftext|> b", "x" * 200, "x y " * 50 + "z", *(t for _, t, *_ in docs[:40])]
+    got = tokens.spliced_counts(some, batch(False), lambda s: [(a, b, 0) for a, b in tok.encode(s, add_special_tokens=False).offsets], 200, 20, batch(True))
+    assert got == [len(tok.encode(t or "", add_special_tokens=False)) for t in some]
+    assert asked[True] == [t for t in some if t and len(t) <= 200] and len(asked[False]) > 2
+
+
 def test_op2(spark, sf, tmp_path):
     pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["a", "b", "a", None, "", "ü" * 5000, "a"])] + [(6, "http://h/6", "a"), (None, None, "a"), (None, "u", "only")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
