@@ -18,7 +18,8 @@ def strip(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, SENTENCE_END), F.trim), lambda s: s != "")
+    # not F.trim itself: it has a second parameter, for which transform would pass the index as the characters to trim
+    return F.filter(F.transform(F.split(x, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clean_segment(x: Column) -> Column:

@@ -71,6 +71,12 @@ def test_sentences(spark):
     assert one(spark, [(text,)], "t string", T.sentences(F.col("t")))[0][0] == ["Dr. Smith came.", "He said: No!", "Really?", "e.g. this stays.", "End"]
 
 
+def test_sentences_keep_digits_of_their_index(spark):
+    text = " ".join(f"{k} is {k}." if k % 2 else f"x{k} y{k}!" for k in range(14)) + "\n  padded. "
+    want = [f"{k} is {k}." if k % 2 else f"x{k} y{k}!" for k in range(14)] + ["padded."]
+    assert one(spark, [(text,)], "t string", T.sentences(F.col("t")))[0][0] == want
+
+
 def test_clean_and_tokens(spark):
     assert one(spark, [("[EN] Jo Doe said from the Greens that  we   agree ",)], "t string", T.clean_segment(F.col("t"))) == [("we agree",)]
     assert one(spark, [("It's a co-op, the UN won't",)], "t string", T.tokens(F.col("t"), ["the"]))[0][0] == ["it's", "co-op", "won't"]
