@@ -81,10 +81,13 @@ def chunks(segs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
 
 
 def sentence_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", per_chunk: int = 8) -> DataFrame:
-    """Non-overlapping chunks of ``per_chunk`` sentences, cut inside each row's array."""
-    s = T.sentences(F.col(text))
-    grouped = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / per_chunk).cast("int")), lambda k: F.array_join(F.slice(s, k * per_chunk + 1, F.lit(per_chunk)), " "))
-    return docs.where(F.size(s) > 0).select(F.col(doc).alias("doc"), F.posexplode(grouped).alias("chunk_idx", "text"))
+    """Non-overlapping chunks of ``per_chunk`` sentences, cut inside each row's array.
+
+    The sentences are an array of one element, whose function sees them as a variable: as an expression they would be split again for every chunk.
+    """
+    grouped = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / per_chunk).cast("int")), lambda k: F.array_join(F.slice(s, k * per_chunk + 1, F.lit(per_chunk)), " "))
+    once = F.transform(F.array(T.sentences(F.col(text))), lambda s: F.when(F.size(s) > 0, grouped(s)))
+    return docs.select(F.col(doc).alias("doc"), F.posexplode(once[0]).alias("chunk_idx", "text"))
 
 
 def first_documents(docs: DataFrame, n: int, order: str = "filename") -> DataFrame:

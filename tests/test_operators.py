@@ -24,6 +24,15 @@ def test_segments_and_names(spark):
     assert got == [("d_S0", 0, "one", "one"), ("d_S1", 2, "two and rather more words", "two and rather more..."), ("d_S2", 4, "three", "three"), ("d_S3", 5, "four", "four")]
 
 
+def test_sentence_chunks(spark):
+    long = " ".join(f"{k} is {k}." for k in range(19))
+    df = spark.createDataFrame([("d", long), ("e", None), ("f", " \n "), ("g", "One.  Two ")], "doc_id string, text string")
+    out = lexical.sentence_chunks(df)
+    got = [tuple(r) for r in out.orderBy("doc", "chunk_idx").collect()]
+    assert got == [("d", k, " ".join(f"{i} is {i}." for i in range(8 * k, min(8 * k + 8, 19)))) for k in range(3)] + [("f", 0, "\n"), ("g", 0, "One. Two")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_pack():
     text = "aa bb cc dd ee ff"
     got = lexical.pack(text, 8, 3)
