@@ -324,7 +324,8 @@ def topic_keys(spark: SparkSession, d: str) -> DataFrame:
     SELECT c_custkey AS id, CASE WHEN s IS NULL AND p IS NULL THEN 'Insufficient data for interpretation' ELSE concat_ws('; ', CASE WHEN s > 0.5 THEN 'Strong' WHEN s > 0.25 THEN 'Moderate' WHEN s > 0 THEN 'Weak' WHEN s IS NOT NULL THEN 'Poor' END || printf(' cluster separation (silhouette=%.3f)', s),
       CASE WHEN p < 0.001 THEN 'Highly significant difference (p<0.001)' WHEN p < 0.01 THEN 'Significant difference (p<0.01)' WHEN p < 0.05 THEN 'Marginally significant difference (p<0.05)' WHEN p IS NOT NULL THEN printf('No significant difference (p=%.4f)', p) END) END AS said FROM x""")
 def interpretations(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(F.col("c_custkey") % 7 > 0, F.round(F.col("c_acctbal") / 10000, 3))
+    # as DuckDB rounds: the scaled double, and not the shortest decimal that stands for the value, as Spark does (0.5075 is 507.49999999999994 thousandths)
+    s = F.when(F.col("c_custkey") % 7 > 0, F.round(F.col("c_acctbal") / 10000 * 1000, 0) / 1000)
     p = F.when(F.col("c_custkey") % 5 > 0, F.round((F.col("c_custkey") % 100) / 1000.0, 4))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), s.alias("s"), p.alias("p")).select("id", T.interpretation(F.col("s"), F.col("p")).alias("said"))
 
