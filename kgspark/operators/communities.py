@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kgspark.operators import held
 from kgspark.operators.components import components
 from kgspark.operators.graph import merge_small, modularity, undirected
 from kgspark.operators.storage import cut, discard
@@ -219,11 +223,19 @@ def coarsen(edges: DataFrame, gamma: float, seed: int, task_edges: int) -> tuple
     return members, edges
 
 
-def detect(edges: DataFrame, gamma: float = 1.0, seed: int = SEED, task_edges: int = TASK_EDGES) -> DataFrame:
+def detect(edges: DataFrame, gamma: float = 1.0, seed: int = SEED, task_edges: int = TASK_EDGES, held_nodes: int = held.HELD_NODES) -> DataFrame:
     """(id, rep) for the nodes with edges: Leiden by component. One objective, with ``gamma``, at every size: a component of more than ``task_edges`` edges is
-    coarsened over the cluster until it fits a task, as Leiden's own first levels would."""
-    kind = dict(edges.dtypes)["src"]
-    und = cut(undirected(edges), "undirected")
+    coarsened over the cluster until it fits a task, as Leiden's own first levels would. Up to ``held_nodes`` nodes the rounds send the nodes' state to the edges
+    (``held``); beyond, they join edges and state, by the same rules."""
+    return _detect(cut(undirected(edges), "undirected"), gamma, seed, task_edges, held_nodes)
+
+
+def _detect(und: DataFrame, gamma: float, seed: int, task_edges: int = TASK_EDGES, held_nodes: int = held.HELD_NODES) -> DataFrame:
+    kind = dict(und.dtypes)["src"]
+    ids = held.ids_of(und, held_nodes)
+    if ids is not None:
+        rep, _, _ = held.detect(held.numbered(und, ids), len(ids), None, _local, gamma, seed, task_edges)
+        return cut(und.sparkSession.createDataFrame(pa.table({"id": ids, "rep": ids.take(pa.array(rep))})), "found")
     roots = cut(components(und.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "roots")
     tagged = und.join(roots, und.src == roots.node).select("root", "src", "dst", "weight")
     sizes = cut(tagged.groupBy("root").agg(F.count("*").alias("n")), "sizes")
@@ -250,9 +262,10 @@ def number(labelled: DataFrame) -> DataFrame:
 
 def partition(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: int = SEED) -> DataFrame:
     """(id, community) of all ``nodes``; isolated ones are communities of their own, and so a tiny graph (under 3 nodes or no edge) is one community."""
-    if nodes.limit(3).count() < 3 or edges.isEmpty():
+    und = cut(undirected(edges), "undirected")
+    if nodes.limit(3).count() < 3 or und.isEmpty():
         return nodes.select("id", F.lit(0).alias("community"))
-    found = detect(edges, gamma, seed)
+    found = _detect(und, gamma, seed)
     alone = nodes.select("id").join(found.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_anti")
     return number(found.unionByName(alone.select("id", F.col("id").alias("rep"))))
 
@@ -283,12 +296,20 @@ def search_grid(edges: DataFrame, resolutions=RESOLUTIONS, runs: int = RUNS, see
     return grid.groupBy("resolution", "run").applyInPandas(work, f"resolution double, run int, id {kind}, rep {kind}")
 
 
-def subcommunities(edges: DataFrame, assignments: DataFrame, min_sub: int = 2, seed: int = SEED) -> DataFrame:
-    """(id, community, sub_id) inside communities of max(2 min_sub, 4) nodes or more that have edges and fall into two parts or more."""
+def subcommunities(edges: DataFrame, assignments: DataFrame, min_sub: int = 2, seed: int = SEED, task_edges: int = TASK_EDGES, held_nodes: int = held.HELD_NODES) -> DataFrame:
+    """(id, community, sub_id) inside communities of max(2 min_sub, 4) nodes or more that have edges and fall into two parts or more.
+
+    A community of more than ``task_edges`` edges is coarsened first, as in ``detect``; beyond ``held_nodes`` nodes each community is one task, however large.
+    """
+    und = cut(undirected(edges.select("src", "dst", "weight")), "undirected")
     kind = dict(assignments.dtypes)["id"]
     sizes = assignments.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= max(2 * min_sub, 4))
+    ids = held.ids_of(und, held_nodes)
+    if ids is not None:
+        found = _held_parts(und, ids, assignments.join(sizes.select("community"), "community"), min_sub, seed, task_edges)
+        return _sub_ids(und.sparkSession.createDataFrame(found, f"id {kind}, community bigint, rep {kind}") if not found.num_rows else cut(und.sparkSession.createDataFrame(found), "parts"))
     a, b = assignments.select(F.col("id").alias("_a"), "community"), assignments.select(F.col("id").alias("_b"), F.col("community").alias("_c"))
-    inner = undirected(edges.select("src", "dst", "weight")).join(a, F.col("src") == F.col("_a")).join(b, (F.col("dst") == F.col("_b")) & (F.col("community") == F.col("_c"))).select("community", "src", "dst", "weight").join(sizes.select("community"), "community")
+    inner = und.join(a, F.col("src") == F.col("_a")).join(b, (F.col("dst") == F.col("_b")) & (F.col("community") == F.col("_c"))).select("community", "src", "dst", "weight").join(sizes.select("community"), "community")
 
     def work(key, g: pd.DataFrame) -> pd.DataFrame:
         out = _local(g, 1.0, seed)
@@ -307,7 +328,28 @@ def subcommunities(edges: DataFrame, assignments: DataFrame, min_sub: int = 2, s
         ids = list(rep) if len({*to.values()}) > 1 else []
         return pd.DataFrame({"id": pd.Series(ids, dtype=object), "community": pd.Series([int(key[0])] * len(ids), dtype="int64"), "rep": pd.Series([to[rep[i]] for i in ids], dtype=object)})
 
-    found = inner.groupBy("community").applyInPandas(work, f"id {kind}, community bigint, rep {kind}")
+    return _sub_ids(inner.groupBy("community").applyInPandas(work, f"id {kind}, community bigint, rep {kind}"))
+
+
+def _held_parts(und: DataFrame, ids: pa.Array, eligible: DataFrame, min_sub: int, seed: int, task_edges: int) -> pa.Table:
+    """(id, community, rep) of the nodes with edges inside eligible communities that fall into two parts or more."""
+    rows = eligible.select("id", F.col("community").cast("bigint").alias("community")).toArrow()
+    at = pc.index_in(rows["id"].combine_chunks().cast(ids.type), value_set=ids)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    names, codes = np.unique(rows["community"].to_numpy()[known], return_inverse=True)
+    group = np.full(len(ids), -1)
+    group[at.drop_null().to_numpy()] = codes
+    edges = held.numbered(und, ids, group)
+    rep, linked, blocks = held.detect(edges, len(ids), np.where(group < 0, len(names), group), _local, 1.0, seed, task_edges)
+    group = np.where(linked, group, -1)
+    rep = held.absorb(blocks, rep, group, min_sub)
+    parts = pd.DataFrame({"g": group, "rep": rep, "v": np.arange(len(ids))})[group >= 0]
+    parts = parts[parts.groupby("g")["rep"].transform("nunique") > 1]
+    return pa.table({"id": ids.take(pa.array(parts["v"].to_numpy())), "community": pa.array(names[parts["g"].to_numpy()].astype("int64")), "rep": ids.take(pa.array(parts["rep"].to_numpy()))})
+
+
+def _sub_ids(found: DataFrame) -> DataFrame:
+    """Parts numbered within each community by their least id."""
     local = F.dense_rank().over(W.partitionBy("community").orderBy("first")) - 1
     firsts = found.groupBy("community", "rep").agg(F.min("id").alias("first"))
     numbered = firsts.select("community", "rep", local.alias("sub_id"))

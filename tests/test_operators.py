@@ -167,6 +167,16 @@ def test_subcommunities(spark):
     assert len(got) == 10 and got["a0"] == got["a3"] == 0 and got["b1"] == 1
 
 
+def test_communities_with_held_nodes_as_by_joins(spark):
+    e = edges_of(spark, CLIQUES)
+    parts = spark.createDataFrame([(f"{g}{i}", 7) for g in "ab" for i in range(5)] + [("c0", 3)], "id string, community long")
+    for most in (4, 10**6):
+        found = [sorted(map(tuple, communities.detect(e, task_edges=most, held_nodes=n).collect())) for n in (0, 100)]
+        assert found[0] == found[1] and len(found[0]) == 10
+    subs = [sorted(map(tuple, communities.subcommunities(e, parts, task_edges=most, held_nodes=n).collect())) for most, n in ((10**6, 0), (10**6, 100), (4, 100))]
+    assert subs[0] == subs[1] == subs[2] and len(subs[0]) == 10
+
+
 def floyd(n, edges):
     d = np.full((n, n), np.inf)
     np.fill_diagonal(d, 0)
